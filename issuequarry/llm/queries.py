@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuequarry.llm import lookalike
+from issuequarry.llm import lookalike, neardup, overlap
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -25,5 +25,30 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_columns(df, cols, "row_id", lookalike.bigram_scores(df, cols))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_forms)}
+def _evals(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {x: _t(spark, d, x) for x in ("test", "validation_clean")}
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of an evaluation row and a train_clean row of likeness 0.6 or more over runs of three words."""
+    return overlap.split_overlaps(_evals(spark, d), _t(spark, d, "train_clean"), width=3, t=0.6)
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps per evaluation split and repository, at five words and likeness 0.8."""
+    ev = _evals(spark, d)
+    return overlap.overlap_report(overlap.split_overlaps(ev, _t(spark, d, "train_clean")), ev)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of train_clean rows linked by likeness 0.6 or more over runs of three words."""
+    return neardup.near_duplicate_groups(_t(spark, d, "train_clean"), width=3, t=0.6)
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups at five words and likeness 0.8."""
+    return neardup.near_duplicate_groups(_t(spark, d, "train_clean"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_forms, p5_found, p5_groups)}
 ORACLE: dict[str, str] = {}
