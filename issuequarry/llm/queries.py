@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuequarry.llm import lookalike, neardup, overlap
+from issuequarry.llm import lookalike, mixing, neardup, overlap, packing, quota_sample, splits
+from issuequarry.session import Scratch
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -50,5 +51,94 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(_t(spark, d, "train_clean"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_forms, p5_found, p5_groups)}
-ORACLE: dict[str, str] = {}
+def _draw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return quota_sample.draw(_t(spark, d, "train_clean"), _t(spark, d, "sample_target"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of sample_target whose label has too few issues."""
+    return _draw(spark, d)[1].filter("too_few").select("plan_name", "canonical_label")
+
+
+def p1_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn issues of every plan."""
+    return _draw(spark, d)[0]
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """What was wanted, there and drawn per plan and label."""
+    return _draw(spark, d)[1]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of clean repository names that must share a split."""
+    return splits.linked_names(splits.entity_components(_t(spark, d, "train_clean"), Scratch(spark, "splits")))
+
+
+def p2_split(spark: SparkSession, d: str) -> DataFrame:
+    """The split of every train_clean row."""
+    return splits.grouped_split(_t(spark, d, "train_clean"), _t(spark, d, "split_target"))
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached per split."""
+    goal = _t(spark, d, "split_target")
+    return splits.split_shares(splits.grouped_split(_t(spark, d, "train_clean"), goal), goal)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that must be split, per kind of container."""
+    return packing.pack(_t(spark, d, "documents"), _t(spark, d, "container_kind")).filter("piece = 1").select("container_kind", "doc_id")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Container and place of every piece."""
+    return packing.pack(_t(spark, d, "documents"), _t(spark, d, "container_kind"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used beside the lower bound."""
+    kinds = _t(spark, d, "container_kind")
+    return packing.fill_report(packing.pack(_t(spark, d, "documents"), kinds), kinds)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of mix_target that cannot be met."""
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_target"))[1].filter("too_few").select("mix_name", "source")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed documents in the order of virtual finish time."""
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_target"))[0]
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached per mix and source."""
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_target"))[1]
+
+
+_ALL = (
+    p1_found, p1_sample, p1_report, p2_found, p2_split, p2_shares, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_groups,
+    p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+ORACLE: dict[str, str] = {
+    "p1_found": """
+        WITH n AS (SELECT upper(trim(canonical_label)) AS c, count(DISTINCT issue_id) AS n FROM train_clean GROUP BY 1)
+        SELECT plan_name, upper(trim(canonical_label)) AS canonical_label FROM sample_target t LEFT JOIN n ON n.c = upper(trim(t.canonical_label))
+        WHERE coalesce(n, 0) < greatest(coalesce(min_rows, 0), target_share * sample_rows)""",
+    "p2_found": """
+        WITH RECURSIVE e AS (
+            SELECT DISTINCT lower(trim(repository)) AS r, issue_id AS i FROM train_clean WHERE trim(repository) <> '' AND trim(issue_id) <> ''),
+        m AS (SELECT i FROM e GROUP BY i HAVING count(*) > 1),
+        l AS (SELECT DISTINCT a.r AS x, b.r AS y FROM e a JOIN e b USING (i) SEMI JOIN m USING (i) WHERE a.r <> b.r),
+        reach AS (SELECT x, y FROM l UNION SELECT p.x, l.y FROM reach p JOIN l ON p.y = l.x)
+        SELECT DISTINCT x AS repository_a, y AS repository_b FROM reach WHERE x < y""",
+    "p6_found": """
+        WITH s AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+')) AS n FROM documents)
+        SELECT container_kind, doc_id FROM s, container_kind WHERE n > capacity_tokens""",
+    "p7_found": """
+        WITH s AS (SELECT lower(trim(source)) AS s, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+')) AS n FROM documents),
+        t AS (SELECT s, sum(n) AS n FROM s GROUP BY s)
+        SELECT mix_name, source FROM mix_target m LEFT JOIN t ON t.s = lower(trim(m.source)) WHERE coalesce(n, 0) * max_uses < target_share * total_tokens""",
+}
