@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuequarry.llm import lookalike, mixing, neardup, overlap, packing, quota_sample, splits
+from issuequarry.llm import lookalike, mixing, neardup, overlap, packing, quota_sample, splits, stuffing
 from issuequarry.session import Scratch
 
 
@@ -117,9 +117,19 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_target"))[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that are mostly repeated keywords, lists of links or product tags."""
+    return stuffing.label_pages(_t(spark, d, "documents")).filter("stuffed").select("doc_id")
+
+
+def p8_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Words of every page under each label."""
+    return stuffing.label_pages(_t(spark, d, "documents"))
+
+
 _ALL = (
     p1_found, p1_sample, p1_report, p2_found, p2_split, p2_shares, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_groups,
-    p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report,
+    p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_labels,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {
