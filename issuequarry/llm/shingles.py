@@ -27,7 +27,8 @@ from issuequarry.llm.textform import ConsistentForm
 from issuequarry.session import Scratch
 
 MASK48 = (1 << 48) - 1
-BASE = "row_id bigint, side int, k bigint, n int, sh binary"
+BASE = "row_id bigint, side int, k bigint, n int, s1 bigint, s2 bigint, sh binary"
+SKETCH = 128
 
 
 def pack(h: np.ndarray) -> bytes:
@@ -51,6 +52,26 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def sketches(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One bit of each of 128 minimum hashes of every set: two sets of likeness t differ in a bit with chance (1 - t) / 2. No run: all 0."""
+    out = np.zeros((len(n), 2), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        x = mix(h, 41)
+        at = (np.cumsum(n) - n)[some]
+        with np.errstate(over="ignore"):
+            for i in range(SKETCH):
+                a = np.uint64(int(mix(np.array([i], np.uint64), 51)[0]) | 1)
+                low = np.minimum.reduceat(x * a, at)
+                out[some, i // 64] |= ((low >> np.uint64(29)) & np.uint64(1)) << np.uint64(63 - i % 64)
+    return out.view(np.int64)
+
+
+def sketch_budget(t: float) -> int:
+    q = (1 - t) / 2
+    return math.floor(SKETCH * q + 4.6 * math.sqrt(SKETCH * q * (1 - q)))
+
+
 class RunHasher:
     """Texts of a batch to (content key, number of runs, packed sorted runs)."""
 
@@ -58,7 +79,7 @@ class RunHasher:
         self.width, self.form, self.cache = width, ConsistentForm(), {}
         self.words = re.compile(r"[^\W_]+")
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         cache, h64 = self.cache, xxhash.xxh3_64_intdigest
         if len(cache) > 1_000_000:
             cache.clear()
@@ -96,7 +117,7 @@ class RunHasher:
         empty = n == 0
         if empty.any():
             key[empty] = mix(np.array(whole, np.uint64)[empty], 11)
-        return key.view(np.int64), n, [pack(h[at[i] : at[i + 1]]) for i in range(len(texts))]
+        return key.view(np.int64), n, sketches(h, n), [pack(h[at[i] : at[i + 1]]) for i in range(len(texts))]
 
 
 def run_sets(df: DataFrame, key: str, text: str, width: int, side: int = 1) -> DataFrame:
@@ -107,8 +128,11 @@ def run_sets(df: DataFrame, key: str, text: str, width: int, side: int = 1) -> D
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 c = b.slice(i, 4096)
-                k, n, sh = hasher(c.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(np.full(len(n), side), pa.int32()), pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(sh, pa.binary())], ["row_id", "side", "k", "n", "sh"])
+                k, n, sk, sh = hasher(c.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [c.column(0), pa.array(np.full(len(n), side), pa.int32()), pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(sk[:, 0], pa.int64()), pa.array(sk[:, 1], pa.int64()), pa.array(sh, pa.binary())],
+                    ["row_id", "side", "k", "n", "s1", "s2", "sh"],
+                )
 
     return df.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(work, BASE)
 
@@ -160,9 +184,9 @@ def level_of(count: float) -> int:
     return int(count) if count < 4 else min(255, 4 + int(8 * math.log2(count / 4)))
 
 
-def early_runs(base: DataFrame, sketch, bits: int, t: float, hot: int) -> DataFrame:
-    """(tok, k, side, prev) for the early runs of every distinct set of a task; prev: the hot runs before a hot one, null for a cold one. A run whose
-    cell counts 1 stands in one text only and is left out."""
+def early_runs(base: DataFrame, sketch, bits: int, t: float, hot: int, warm: bool) -> DataFrame:
+    """The early runs of every distinct set of a task, cold ones as (tok, k, side, n, pos, s1, s2), hot ones as (tok, k, side, owner). pos: place in the set's
+    order, owner: the first hot run of the set. A run whose cell counts 1 stands in one text only and is left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(sketch.value, np.uint8)
@@ -187,43 +211,142 @@ def early_runs(base: DataFrame, sketch, bits: int, t: float, hot: int) -> DataFr
                 o = np.lexsort((h, lv, doc))
                 h, lv = h[o], lv[o]
                 start = np.concatenate(([0], np.cumsum(n)[:-1]))
+                pos = np.arange(len(h)) - np.repeat(start, n)
                 early = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
-                use = (np.arange(len(h)) - np.repeat(start, n) < np.repeat(early, n)) & (lv != 1)
-                h, lv, doc = h[use].astype(np.int64), lv[use], doc[use]
-                keep = np.array(keep)
-                kk, ss = k[keep][doc], side[keep][doc]
-                warm = lv >= hot
-                prev: list = [None] * len(h)
-                run: list[int] = []
-                last = -1
-                for i in np.flatnonzero(warm).tolist():
-                    if doc[i] != last:
-                        run, last = [], doc[i]
-                    prev[i] = list(run)
-                    run.append(int(h[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kk, pa.int64()), pa.array(ss, pa.int32()), pa.array(prev, pa.list_(pa.int64()))], ["tok", "k", "side", "prev"])
-
-    return base.select("k", "side", "sh").mapInArrow(work, "tok bigint, k bigint, side int, prev array<bigint>")
-
-
-def cold_blocks(early: DataFrame, two_sided: bool) -> DataFrame:
-    """(block, k, side): the distinct lists of sets that share a cold run; of a two-sided join those with both sides."""
+                use = (pos < np.repeat(early, n)) & (lv != 1) & ((lv >= hot) == warm)
+                h, doc, pos = h[use].astype(np.int64), doc[use], pos[use]
+                if not len(h):
+                    continue
+                at_doc = np.array(keep)[doc]
+                cols = [pa.array(h, pa.int64()), pa.array(k[at_doc], pa.int64()), pa.array(side[at_doc], pa.int32())]
+                if warm:
+                    first = np.zeros(len(keep), np.int64)
+                    first[doc[::-1]] = h[::-1]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(first[doc], pa.int64())], ["tok", "k", "side", "owner"])
+                else:
+                    s1, s2 = (pa.array(c.column(i).to_numpy()[at_doc], pa.int64()) for i in (3, 4))
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(n[doc], pa.int32()), pa.array(pos, pa.int32()), s1, s2], ["tok", "k", "side", "n", "pos", "s1", "s2"])
+
+    return base.select("k", "side", "sh", "s1", "s2").mapInArrow(work, "tok bigint, k bigint, side int, " + ("owner bigint" if warm else "n int, pos int, s1 bigint, s2 bigint"))
+
+
+# Depths in bits at which the walk widens: several binary levels are taken at once, with the same nodes and sums as one by one.
+DEPTHS = (4, 8, 16, 32, 64, 128, 192, 256, 320, 384, 448, 512)
+
+
+def trie_self_join(v: np.ndarray, root: np.ndarray, roots: tuple[np.ndarray, np.ndarray], n: np.ndarray, t: float, budget: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing bits) of all pairs within budget. v: bit vectors, root: the trie of each, roots: the pairs of tries to walk, n: set sizes,
+    budget: the most bits that may differ; without one it is that of the two sets' sizes."""
+    c = (1 - t) / (1 + t)
+    order = np.lexsort([*[v[:, i] for i in reversed(range(v.shape[1]))], root])
+    v, root, n = v[order], root[order], n[order]
+    change = np.ones(len(root), bool)
+    change[1:] = root[1:] != root[:-1]
+    ids = np.cumsum(change) - 1
+    there = root[change]
+    u, w = np.searchsorted(there, roots[0]), np.searchsorted(there, roots[1])
+    known = (u < len(there)) & (w < len(there))
+    u, w, r0, r1 = u[known], w[known], roots[0][known], roots[1][known]
+    known = (there[u] == r0) & (there[w] == r1)
+    u, w = u[known], w[known]
+    acc = np.zeros(len(u), np.int64)
+    depth = 0
+    for d in (*(d for d in DEPTHS if d <= 64 * v.shape[1]), None):
+        if not len(u):
+            break
+        parent = ids
+        if d is None:
+            change = np.ones(len(root), bool)  # the members below each leaf
+        else:
+            word, shift, width = depth // 64, 64 - (d - 64 * (depth // 64)), d - depth
+            seg = (v[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            new = np.zeros(len(root), bool)
+            new[1:] = seg[1:] != seg[:-1]
+            change = change | new
+            depth = d
+        ids = np.cumsum(change) - 1
+        first = np.flatnonzero(change)
+        most, least = np.maximum.reduceat(n, first), np.minimum.reduceat(n, first)
+        up = parent[first]  # parent of each node
+        lo = np.searchsorted(up, np.arange(up[-1] + 2))
+        kids = np.diff(lo)
+        count = kids[u] * kids[w]
+        rep = np.repeat(np.arange(len(u)), count)
+        i = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
+        kw = kids[w][rep]
+        a, b = lo[u][rep] + i // kw, lo[w][rep] + i % kw
+        acc = acc[rep]
+        ok = (u[rep] != w[rep]) | (a < b if d is None else a <= b)
+        if d is not None:
+            s = seg[first]
+            acc = acc + np.bitwise_count(s[a] ^ s[b])
+        ok &= (acc <= (c * (most[a] + most[b]) + 1e-9 if budget is None else budget)) & (most[a] >= t * least[b] - 1e-9) & (most[b] >= t * least[a] - 1e-9)
+        u, w, acc = a[ok], b[ok], acc[ok]
+    return order[u], order[w], acc
+
+
+def fits(a: np.ndarray, b: np.ndarray, n: np.ndarray, pos: np.ndarray, t: float) -> np.ndarray:
+    """Pairs whose sizes are within t and, if the block's run is the first that both have, that have enough runs left."""
+    na, nb = n[a], n[b]
+    return (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9) & (1 + np.minimum(na - 1 - pos[a], nb - 1 - pos[b]) >= t / (1 + t) * (na + nb) - 1e-9)
+
+
+def paired_rows(at: np.ndarray, size: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray, v: np.ndarray, t: float, two_sided: bool) -> np.ndarray:
+    """Which rows of blocks (from `at`, of `size` rows each) can be in a pair: by the sketches' error budget and fits()."""
+    good = np.zeros(len(n), bool)
+    budget = sketch_budget(t)
+    if not two_sided:
+        part = np.cumsum(size.astype(np.int64) ** 2) // 2_000_000
+        for x in np.unique(part).tolist():
+            at_, size_ = at[part == x], size[part == x]
+            rows = np.repeat(at_ - (np.cumsum(size_) - size_), size_) + np.arange(size_.sum())
+            root = np.repeat(np.arange(len(at_)), size_)
+            each = np.arange(len(at_))
+            a, b, _ = trie_self_join(v[rows], root, (each, each), n[rows], t, budget)
+            a, b = rows[a], rows[b]
+            ok = fits(a, b, n, pos, t)
+            good[a[ok]] = True
+            good[b[ok]] = True
+        return good
+    for s in np.unique(size).tolist():
+        i, j = np.triu_indices(s, 1)
+        starts = at[size == s]
+        step = max(1, 2_000_000 // len(i))
+        for x in range(0, len(starts), step):
+            a, b = ((starts[x : x + step, None] + y).ravel() for y in (i, j))
+            ok = side[a] != side[b]
+            a, b = a[ok], b[ok]
+            ok = fits(a, b, n, pos, t)
+            a, b = a[ok], b[ok]
+            ok = np.bitwise_count(v[a] ^ v[b]).sum(axis=1) <= budget
+            good[a[ok]] = True
+            good[b[ok]] = True
+    return good
+
+
+def cold_blocks(early: DataFrame, t: float, two_sided: bool) -> DataFrame:
+    """(block, k, side, part): the distinct lists of sets that share a cold run, without those that it can pair with no other; of a two-sided join
+    across sides only."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
+        parts = [[b.column(i).to_numpy() for i in range(7)] for b in batches]
         if not parts:
             return
-        tok, k, side = (np.concatenate(x) for x in zip(*parts, strict=True))
-        o = np.lexsort((side, k, tok))
-        tok, k, side = tok[o], k[o], side[o]
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        del parts
+        o = np.lexsort((cols[2], cols[1], cols[0]))
+        tok, k, side, n, pos, s1, s2 = (c[o] for c in cols)
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (k[1:] != k[:-1]) | (side[1:] != side[:-1])
-        tok, k, side = tok[new], k[new], side[new]
-        at = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True])))
+        tok, k, side, n, pos, s1, s2 = (c[new] for c in (tok, k, side, n, pos, s1, s2))
+        at = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        size = np.diff(np.concatenate((at, [len(tok)])))
+        good = paired_rows(at[size > 1], size[size > 1], side, n, pos, np.stack((s1, s2), axis=1).view(np.uint64), t, two_sided)
+        tok, k, side = tok[good], k[good], side[good]
+        at = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True]))).tolist() if len(tok) else []
         seen, out = set(), []
-        for i, j in zip(at[:-1][np.diff(at) > 1].tolist(), at[1:][np.diff(at) > 1].tolist(), strict=True):
-            if two_sided and (side[i:j] == side[i]).all():
-                continue
+        for i, j in zip(at[:-1], at[1:], strict=True):
             ks, ss = k[i:j], side[i:j]
             b = xxhash.xxh3_64_intdigest(ks.tobytes() + ss.tobytes()) - (1 << 63)
             if b not in seen:
@@ -235,7 +358,7 @@ def cold_blocks(early: DataFrame, two_sided: bool) -> DataFrame:
         if out:
             yield _lists(out)
 
-    lists = early.filter(F.col("prev").isNull()).select("tok", "k", "side").repartition("tok").mapInArrow(work, "block bigint, ks array<bigint>, ss array<int>")
+    lists = early.repartition("tok").mapInArrow(work, "block bigint, ks array<bigint>, ss array<int>")
     return lists.dropDuplicates(["block"]).select("block", F.explode(F.arrays_zip("ks", "ss")).alias("x")).select("block", F.col("x.ks").alias("k"), F.col("x.ss").alias("side"), F.lit(2).alias("part"))
 
 
@@ -249,7 +372,7 @@ def hot_blocks(early: DataFrame, chunk: int) -> DataFrame:
     The sets of a run are told apart by the first hot run of each (its owner). Two sets of one owner other than the run meet in that owner's block, so
     chunks of one such owner don't meet here. Owners with few sets share chunks.
     """
-    rows = early.filter(F.col("prev").isNotNull()).select("tok", "k", "side", F.coalesce(F.try_element_at("prev", F.lit(1)), F.col("tok")).alias("owner")).dropDuplicates(["tok", "k", "side"])
+    rows = early.dropDuplicates(["tok", "k", "side"])
     size = rows.groupBy("tok", "owner").agg(F.count("*").alias("m"))
     big = F.col("m") >= chunk
     plan = size.groupBy("tok").agg(
@@ -282,10 +405,10 @@ def blocks(base: DataFrame, t: float, scratch: Scratch, two_sided: bool = False,
     spark: SparkSession = base.sparkSession
     levels, bits, mean = count_sketch(base)
     sketch = spark.sparkContext.broadcast(levels)
-    early = early_runs(base, sketch, bits, t, level_of(hot_count + 2 * mean))
-    early = scratch.keep(early)
-    found = scratch.keep(cold_blocks(early, two_sided).select("block", "part", "k", "side").unionAll(hot_blocks(early, chunk).select("block", "part", "k", "side")))
-    scratch.drop(early)
+    hot = level_of(hot_count + 2 * mean)
+    cold = cold_blocks(early_runs(base, sketch, bits, t, hot, False), t, two_sided)
+    warm = hot_blocks(scratch.keep(early_runs(base, sketch, bits, t, hot, True)), chunk)
+    found = scratch.keep(cold.select("block", "part", "k", "side").unionAll(warm.select("block", "part", "k", "side")))
     sets = base.join(found.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("sh").alias("sh"))
     return found.join(sets, "k").select("block", "part", "side", "k", "sh"), sketch
 
