@@ -7,8 +7,8 @@ ordered from rare to frequent by a count sketch over the whole corpus. Two texts
 The order may be any, so the sketch's collisions cost time and never a pair.
 
 Cold dimensions form blocks directly; equal blocks are kept once. Hot ones (a third of all rows may share one) are cut into
-chunks of bounded size, every two chunks that can hold a new pair meet in one task, and a pair is left to the block of the
-rarest hot dimension that leads both texts.
+chunks of bounded size, and every two chunks meet in one task; hot runs that lead the same sets are joined to one family first, so that
+a boilerplate of many runs is walked once.
 """
 
 from __future__ import annotations
@@ -184,9 +184,10 @@ def level_of(count: float) -> int:
     return int(count) if count < 4 else min(255, 4 + int(8 * math.log2(count / 4)))
 
 
-def early_runs(base: DataFrame, sketch, bits: int, t: float, hot: int, warm: bool) -> DataFrame:
+def early_runs(base: DataFrame, sketch, bits: int, t: float, hot: int, warm: bool, wanted: tuple | None = None) -> DataFrame:
     """The early runs of every distinct set of a task, cold ones as (tok, k, side, n, pos, s1, s2), hot ones as (tok, k, side, owner). pos: place in the set's
-    order, owner: the first hot run of the set. A run whose cell counts 1 stands in one text only and is left out."""
+    order, owner: the least by hash of the set's hot runs. A run whose cell counts 1 stands in one text only and is left out,
+    as is one outside the bitmap of wanted runs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(sketch.value, np.uint8)
@@ -215,13 +216,16 @@ def early_runs(base: DataFrame, sketch, bits: int, t: float, hot: int, warm: boo
                 early = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
                 use = (pos < np.repeat(early, n)) & (lv != 1) & ((lv >= hot) == warm)
                 h, doc, pos = h[use].astype(np.int64), doc[use], pos[use]
+                if wanted is not None:
+                    use = in_bloom(h, wanted[0].value, wanted[1])
+                    h, doc, pos = h[use], doc[use], pos[use]
                 if not len(h):
                     continue
                 at_doc = np.array(keep)[doc]
                 cols = [pa.array(h, pa.int64()), pa.array(k[at_doc], pa.int64()), pa.array(side[at_doc], pa.int32())]
                 if warm:
-                    first = np.zeros(len(keep), np.int64)
-                    first[doc[::-1]] = h[::-1]
+                    first, o = np.zeros(len(keep), np.int64), np.argsort(mix(h, 61))[::-1]
+                    first[doc[o]] = h[o]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(first[doc], pa.int64())], ["tok", "k", "side", "owner"])
                 else:
                     s1, s2 = (pa.array(c.column(i).to_numpy()[at_doc], pa.int64()) for i in (3, 4))
@@ -291,9 +295,21 @@ def fits(a: np.ndarray, b: np.ndarray, n: np.ndarray, pos: np.ndarray, t: float)
     return (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9) & (1 + np.minimum(na - 1 - pos[a], nb - 1 - pos[b]) >= t / (1 + t) * (na + nb) - 1e-9)
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives both rows of every pair the smallest label reached, in place."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        if (label[a] == low).all() and (label[b] == low).all():
+            return
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+
+
 def paired_rows(at: np.ndarray, size: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray, v: np.ndarray, t: float, two_sided: bool) -> np.ndarray:
-    """Which rows of blocks (from `at`, of `size` rows each) can be in a pair: by the sketches' error budget and fits()."""
+    """A label for each row, -1 where no pair of its block (from `at`, of `size` rows each) passes the sketches' error budget and fits(); rows linked by passing
+    pairs have one label."""
     good = np.zeros(len(n), bool)
+    label = np.arange(len(n))
     budget = sketch_budget(t)
     if not two_sided:
         part = np.cumsum(size.astype(np.int64) ** 2) // 2_000_000
@@ -305,9 +321,10 @@ def paired_rows(at: np.ndarray, size: np.ndarray, side: np.ndarray, n: np.ndarra
             a, b, _ = trie_self_join(v[rows], root, (each, each), n[rows], t, budget)
             a, b = rows[a], rows[b]
             ok = fits(a, b, n, pos, t)
-            good[a[ok]] = True
-            good[b[ok]] = True
-        return good
+            a, b = a[ok], b[ok]
+            good[a] = good[b] = True
+            joined(label, a, b)
+        return np.where(good, label, -1)
     for s in np.unique(size).tolist():
         i, j = np.triu_indices(s, 1)
         starts = at[size == s]
@@ -319,9 +336,10 @@ def paired_rows(at: np.ndarray, size: np.ndarray, side: np.ndarray, n: np.ndarra
             ok = fits(a, b, n, pos, t)
             a, b = a[ok], b[ok]
             ok = np.bitwise_count(v[a] ^ v[b]).sum(axis=1) <= budget
-            good[a[ok]] = True
-            good[b[ok]] = True
-    return good
+            a, b = a[ok], b[ok]
+            good[a] = good[b] = True
+            joined(label, a, b)
+    return np.where(good, label, -1)
 
 
 def cold_blocks(early: DataFrame, t: float, two_sided: bool) -> DataFrame:
@@ -342,9 +360,10 @@ def cold_blocks(early: DataFrame, t: float, two_sided: bool) -> DataFrame:
         tok, k, side, n, pos, s1, s2 = (c[new] for c in (tok, k, side, n, pos, s1, s2))
         at = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
         size = np.diff(np.concatenate((at, [len(tok)])))
-        good = paired_rows(at[size > 1], size[size > 1], side, n, pos, np.stack((s1, s2), axis=1).view(np.uint64), t, two_sided)
-        tok, k, side = tok[good], k[good], side[good]
-        at = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True]))).tolist() if len(tok) else []
+        label = paired_rows(at[size > 1], size[size > 1], side, n, pos, np.stack((s1, s2), axis=1).view(np.uint64), t, two_sided)
+        o = np.argsort(label, kind="stable")[np.count_nonzero(label < 0) :]
+        label, k, side = label[o], k[o], side[o]
+        at = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1], [True]))).tolist() if len(label) else []
         seen, out = set(), []
         for i, j in zip(at[:-1], at[1:], strict=True):
             ks, ss = k[i:j], side[i:j]
@@ -369,35 +388,59 @@ def _lists(out: list) -> pa.RecordBatch:
 def hot_blocks(early: DataFrame, chunk: int) -> DataFrame:
     """(block, k, side, part): pairs of chunks of the sets that share a hot run. part 0 and 1: pairs across the two; part 2: pairs within.
 
-    The sets of a run are told apart by the first hot run of each (its owner). Two sets of one owner other than the run meet in that owner's block, so
-    chunks of one such owner don't meet here. Owners with few sets share chunks.
+    Runs of one boilerplate lead the same sets, so each run joins the family of the run that is the owner of at least half of its sets, if there is one.
+    Two sets that share a run share its family; a set stands in a family once.
     """
-    rows = early.dropDuplicates(["tok", "k", "side"])
-    size = rows.groupBy("tok", "owner").agg(F.count("*").alias("m"))
-    big = F.col("m") >= chunk
-    plan = size.groupBy("tok").agg(
-        F.collect_list(F.when(big, F.struct("owner", F.ceil(F.col("m") / chunk).cast("int").alias("c")))).alias("own"), F.coalesce(F.sum(F.when(~big, F.col("m"))), F.lit(0)).alias("rest"), F.sum("m").alias("all")
-    ).filter(F.col("all") > 1)
+    size = early.groupBy("tok", "owner").agg(F.count("*").alias("m"))
+    family = size.groupBy("tok").agg(F.max_by("owner", "m").alias("o"), F.max("m").alias("most"), F.sum("m").alias("all")).select("tok", F.when(F.col("most") * 2 >= F.col("all"), F.col("o")).otherwise(F.col("tok")).alias("family"))
+    rows = early.select("tok", "k", "side").join(family, "tok").select("family", "k", "side").distinct()
+    chunks = rows.groupBy("family").agg(F.count("*").alias("m")).filter("m > 1").select("family", F.ceil(F.col("m") / chunk).cast("int").alias("c"))
+    mine = rows.join(chunks, "family").withColumn("me", F.pmod(F.xxhash64("k"), F.col("c")).cast("int")).select("family", "k", "side", "me", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
+    block = F.xxhash64("family", F.least("me", "other"), F.greatest("me", "other"))
+    return mine.select(block.alias("block"), "k", "side", F.when(F.col("me") == F.col("other"), F.lit(2)).otherwise((F.col("me") > F.col("other")).cast("int")).alias("part"))
+
+
+def bloom(keys: DataFrame, most_bits: int = 26) -> tuple[bytes, int]:
+    """A bitmap of hashed 64-bit keys (one column), of 16 bits a key up to 2^most_bits bits (8 MB), which bounds what the driver gets and hands out."""
+    bits = min(most_bits, max(16, math.ceil(math.log2(16 * keys.count() + 1))))
+    piece = 1 << 12  # bytes
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros(1 << bits, bool)
+        for b in batches:
+            m[cell_of(b.column(0).to_numpy(), bits)] = True
+        m = np.packbits(m)
+        ids = [p for p in range(-(-len(m) // piece)) if m[p * piece : (p + 1) * piece].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([m[p * piece : (p + 1) * piece].tobytes() for p in ids], pa.binary())], ["p", "m"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                m = np.frombuffer(m, np.uint8)
+                all_[p] = all_[p] | m if p in all_ else m
+        yield pa.RecordBatch.from_arrays([pa.array(list(all_), pa.int32()), pa.array([m.tobytes() for m in all_.values()], pa.binary())], ["p", "m"])
+
+    out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    for r in keys.mapInArrow(partial, "p int, m binary").repartition("p").mapInArrow(merge, "p int, m binary").toLocalIterator():
+        out[r.p * piece : r.p * piece + len(r.m)] = np.frombuffer(bytes(r.m), np.uint8)
+    return out.tobytes(), bits
+
+
+def in_bloom(h: np.ndarray, bitmap: bytes, bits: int) -> np.ndarray:
+    c = cell_of(h, bits)
+    return (np.frombuffer(bitmap, np.uint8)[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def only_in(df: DataFrame, bitmap, bits: int) -> DataFrame:
+    """Rows whose first column may be in the bitmap."""
+    names = df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                out: list[tuple] = []
-                for tok, k, side, owner, own, rest in zip(*[b.column(i).slice(at, 2000).to_pylist() for i in range(6)], strict=True):
-                    groups = sorted((o["owner"], o["c"]) for o in own)
-                    chunks = [(None, i) for i in range(math.ceil(rest / chunk))] + [(o, i) for o, c in groups for i in range(c)]
-                    width = dict(groups).get(owner)
-                    mine = (owner, (k ^ k >> 17) % width) if width else (None, (k ^ k >> 17) % math.ceil(rest / chunk))
-                    me = chunks.index(mine)
-                    for j, c in enumerate(chunks):
-                        if c[0] == mine[0] and c[0] not in (None, tok):
-                            continue
-                        lo, hi = min(me, j), max(me, j)
-                        block = xxhash.xxh3_64_intdigest(f"{tok}/{lo}/{hi}") - (1 << 63)
-                        out.append((block, k, side, 2 if lo == hi else int(me == hi)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.int32())], ["block", "k", "side", "part"])
-
-    return rows.join(plan, "tok").select("tok", "k", "side", "owner", "own", "rest").mapInArrow(work, "block bigint, k bigint, side int, part int")
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(in_bloom(b.column(0).to_numpy(), bitmap.value, bits))).columns, names)
+
+    return df.mapInArrow(work, df.schema)
 
 
 def blocks(base: DataFrame, t: float, scratch: Scratch, two_sided: bool = False, chunk: int = 1024, hot_count: int = 512) -> tuple[DataFrame, object]:
@@ -406,13 +449,21 @@ def blocks(base: DataFrame, t: float, scratch: Scratch, two_sided: bool = False,
     levels, bits, mean = count_sketch(base)
     sketch = spark.sparkContext.broadcast(levels)
     hot = level_of(hot_count + 2 * mean)
-    cold = cold_blocks(early_runs(base, sketch, bits, t, hot, False), t, two_sided)
+    wanted = None
+    if two_sided:  # runs that no evaluation text leads with need no training row
+        lead = early_runs(base.filter("side = 1"), sketch, bits, t, hot, False).select("tok")
+        wanted = _handed_out(spark, bloom(lead))
+    cold = cold_blocks(early_runs(base, sketch, bits, t, hot, False, wanted), t, two_sided)
     warm = hot_blocks(scratch.keep(early_runs(base, sketch, bits, t, hot, True)), chunk)
     found = scratch.keep(cold.select("block", "part", "k", "side").unionAll(warm.select("block", "part", "k", "side")))
-    sets = base.join(found.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("sh").alias("sh"))
+    sets = only_in(base.select("k", "sh"), *_handed_out(spark, bloom(found.select("k")))).groupBy("k").agg(F.first("sh").alias("sh"))
     return found.join(sets, "k").select("block", "part", "side", "k", "sh"), sketch
 
 
+def _handed_out(spark: SparkSession, x: tuple[bytes, int]) -> tuple:
+    return spark.sparkContext.broadcast(x[0]), x[1]
+
+
 def parity_vectors(h: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
     """words x 64 bits a set: each run flips one bit, so two vectors differ in at most as many bits as the sets in runs."""
     bits = words * 64
