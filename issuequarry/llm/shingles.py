@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -145,7 +146,7 @@ def count_sketch(base: DataFrame, most_bits: int = 25) -> tuple[bytes, int, floa
     """Counts of all runs of all rows by hash cell, as 8-bit levels (exact up to 3, then 8 a doubling); cells grow with the corpus up to 2^most_bits,
     which bounds what the driver gets and hands out (32 MB). Also the mean count of a cell."""
     total = base.agg(F.sum("n")).first()[0] or 0
-    bits = min(most_bits, max(16, math.ceil(math.log2(total + 1))))
+    bits = min(most_bits, max(16, math.ceil(math.log2(1.45 * total + 1))))  # 0.35 to 0.7 runs a cell below the bound
     piece = 1 << 14
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,8 @@ def count_sketch(base: DataFrame, most_bits: int = 25) -> tuple[bytes, int, floa
         for p in range(0, 1 << bits, piece):
             nz = np.flatnonzero(counts[p : p + piece])
             if len(nz):
-                ids.append(p // piece), at.append(nz.astype("<u2").tobytes()), data.append(counts[p : p + piece][nz].astype("<u4").tobytes())
+                gaps = np.diff(nz, prepend=0).astype("<u2")  # small numbers pack well
+                ids.append(p // piece), at.append(zlib.compress(gaps.tobytes(), 1)), data.append(zlib.compress(counts[p : p + piece][nz].astype("<u4").tobytes(), 1))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(at, pa.binary()), pa.array(data, pa.binary())], ["p", "i", "c"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +170,7 @@ def count_sketch(base: DataFrame, most_bits: int = 25) -> tuple[bytes, int, floa
         for b in batches:
             for p, i, c in zip(*[b.column(x).to_pylist() for x in range(3)], strict=True):
                 s = sums.setdefault(p, np.zeros(piece, np.int64))
-                s[np.frombuffer(i, "<u2")] += np.frombuffer(c, "<u4")
+                s[np.cumsum(np.frombuffer(zlib.decompress(i), "<u2").astype(np.int64))] += np.frombuffer(zlib.decompress(c), "<u4")
         for p, s in sums.items():
             level = np.where(s < 4, s, np.minimum(255, 4 + (8 * np.log2(np.maximum(s, 4) / 4)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())], ["p", "c"])
@@ -184,10 +186,34 @@ def level_of(count: float) -> int:
     return int(count) if count < 4 else min(255, 4 + int(8 * math.log2(count / 4)))
 
 
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(1.15)).astype(np.int64)
+
+
+def sized_key(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(h.astype(np.uint64) ^ (c.astype(np.uint64) << np.uint64(48)), 71)
+
+
+def _keys_for(t: float):
+    """Keys of every run and size class in which a set could pair with one that has the run at this place."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, m, j = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().astype(np.int64)
+            lo = size_class(np.ceil(t * m - 1e-6))
+            hi = size_class(np.floor(np.minimum(m / t, (m - j) * (1 + t) / t - m) + 1e-6))
+            count = np.maximum(hi - lo + 1, 0)
+            rep = np.repeat(np.arange(len(h)), count)
+            c = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_arrays([pa.array(sized_key(h[rep], c).view(np.int64), pa.int64())], ["key"])
+
+    return work
+
+
 def early_runs(base: DataFrame, sketch, bits: int, t: float, hot: int, warm: bool, wanted: tuple | None = None) -> DataFrame:
     """The early runs of every distinct set of a task, cold ones as (tok, k, side, n, pos, s1, s2), hot ones as (tok, k, side, owner). pos: place in the set's
     order, owner: the least by hash of the set's hot runs. A run whose cell counts 1 stands in one text only and is left out,
-    as is one outside the bitmap of wanted runs."""
+    as is one of side 2 outside the bitmap of wanted runs and sizes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(sketch.value, np.uint8)
@@ -217,7 +243,7 @@ def early_runs(base: DataFrame, sketch, bits: int, t: float, hot: int, warm: boo
                 use = (pos < np.repeat(early, n)) & (lv != 1) & ((lv >= hot) == warm)
                 h, doc, pos = h[use].astype(np.int64), doc[use], pos[use]
                 if wanted is not None:
-                    use = in_bloom(h, wanted[0].value, wanted[1])
+                    use = (side[np.array(keep)[doc]] == 1) | in_bloom(sized_key(h, size_class(n[doc])), wanted[0].value, wanted[1])
                     h, doc, pos = h[use], doc[use], pos[use]
                 if not len(h):
                     continue
@@ -451,8 +477,8 @@ def blocks(base: DataFrame, t: float, scratch: Scratch, two_sided: bool = False,
     hot = level_of(hot_count + 2 * mean)
     wanted = None
     if two_sided:  # runs that no evaluation text leads with need no training row
-        lead = early_runs(base.filter("side = 1"), sketch, bits, t, hot, False).select("tok")
-        wanted = _handed_out(spark, bloom(lead))
+        lead = early_runs(base.filter("side = 1"), sketch, bits, t, hot, False).select("tok", "n", "pos")
+        wanted = _handed_out(spark, bloom(lead.mapInArrow(_keys_for(t), "key bigint")))
     cold = cold_blocks(early_runs(base, sketch, bits, t, hot, False, wanted), t, two_sided)
     warm = hot_blocks(scratch.keep(early_runs(base, sketch, bits, t, hot, True)), chunk)
     found = scratch.keep(cold.select("block", "part", "k", "side").unionAll(warm.select("block", "part", "k", "side")))
