@@ -1,4 +1,409 @@
-"""Queries of the core operators with their SQL."""
+"""Queries of the core operators with their SQL. Names follow the operator inventory; scalar operators start with txt, token operators with tok."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from issuequarry.functions import text as T
+from issuequarry.operators import data as D
+from issuequarry.operators import metrics as M
+from issuequarry.operators import sampling as S
+from issuequarry.operators import tfidf as X
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+_CLASS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _clean(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{_CLASS}+', ' ', 'g'))"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_CLASS}+|{_CLASS}+$', '', 'g')"
+
+
+def _label(x: str) -> str:
+    c = f"lower({_clean(x)})"
+    return f"CASE WHEN {c} = 'bug' OR starts_with({c}, 'bug,') OR contains({c}, ' bug') THEN 'BUG' WHEN contains({c}, 'feature') OR contains({c}, 'enhancement') THEN 'ENHANCEMENT' WHEN contains({c}, 'question') THEN 'QUESTION' WHEN contains({c}, 'doc') THEN 'DOCUMENTATION' END"
+
+
+def _hash(x: str) -> str:
+    return f"sha256(replace(lower({_clean(x)}), 'ß', 'ss'))"
+
+
+def _issues(table: str) -> str:
+    """The harmonised columns of a table in SQL."""
+    return f"""(SELECT *, {_hash("text")} AS h, CASE WHEN canon = 'BUG' THEN 'BUG' ELSE 'NON_BUG' END AS bin FROM (SELECT row_id, issue_id, {_clean("repository")} AS repository, title, body, '[TITLE]' || chr(10) || title || chr(10) || chr(10) || '[DESCRIPTION]' || chr(10) || body AS text, original_label, {_label("original_label")} AS canon
+        FROM (SELECT row_id, issue_id, repository, original_label, {_clean("title")} AS title, {_clean("body")} AS body FROM {table}) WHERE title <> '' OR body <> ''))"""
+
+
+def issues(spark: SparkSession, d: str, name: str) -> DataFrame:
+    raw = t(spark, d, name).select("row_id", F.col("issue_id").alias("id"), F.col("title").alias("raw_title"), F.col("body").alias("raw_body"), F.col("original_label").alias("raw_label"), F.col("repository").alias("raw_repository"))
+    return D.harmonize(raw, "raw_label", "raw_title", "raw_body", "id", "raw_repository").drop("id", "raw_title", "raw_body", "raw_label", "raw_repository")
+
+
+# --- text and labels
+
+
+@query(f"SELECT row_id, {_clean('title')} AS title, {_clean('body')} AS body FROM train_clean")
+def txt01_clean_text(spark, d):
+    return t(spark, d, "train_clean").select("row_id", T.clean_text(F.col("title")).alias("title"), T.clean_text(F.col("body")).alias("body"))
+
+
+@query(f"SELECT row_id, '[TITLE]' || chr(10) || {_clean('title')} || chr(10) || chr(10) || '[DESCRIPTION]' || chr(10) || {_clean('body')} AS text FROM train_clean")
+def txt02_issue_text(spark, d):
+    return t(spark, d, "train_clean").select("row_id", T.issue_text(T.clean_text(F.col("title")), T.clean_text(F.col("body"))).alias("text"))
+
+
+@query(f"SELECT row_id, '[TITLE]' || chr(10) || {_strip('coalesce(title, chr(32))')} || chr(10) || chr(10) || '[DESCRIPTION]' || chr(10) || {_strip('coalesce(body, chr(32))')} AS text FROM test")
+def txt03_inference_text(spark, d):
+    return t(spark, d, "test").select("row_id", T.inference_text(F.col("title"), F.col("body")).alias("text"))
+
+
+@query(f"SELECT row_id, {_label('original_label')} AS canonical_label FROM train_clean")
+def txt04_canonical_label(spark, d):
+    return t(spark, d, "train_clean").select("row_id", T.canonical_label(F.col("original_label")).alias("canonical_label"))
+
+
+@query(f"SELECT row_id, CASE WHEN {_label('original_label')} = 'BUG' THEN 'BUG' ELSE 'NON_BUG' END AS binary_label FROM train_clean")
+def txt05_binary_label(spark, d):
+    return t(spark, d, "train_clean").select("row_id", T.binary_label(T.canonical_label(F.col("original_label"))).alias("binary_label"))
+
+
+@query(f"SELECT row_id, {_hash('text')} AS text_hash FROM train_clean")
+def txt06_text_hash(spark, d):
+    return t(spark, d, "train_clean").select("row_id", T.text_hash(F.col("text")).alias("text_hash"))
+
+
+@query(f"SELECT row_id, issue_id, title, body, text, original_label, canon AS canonical_label, bin AS binary_label, h AS text_hash, repository FROM {_issues('train_clean')}")
+def txt11_harmonize(spark, d):
+    return issues(spark, d, "train_clean")
+
+
+@query(f"SELECT row_id, issue_id || ':' || substr({_hash('text')}, 1, 16) AS internal_id FROM train_clean")
+def txt12_internal_id(spark, d):
+    return t(spark, d, "train_clean").select("row_id", T.internal_id(F.col("issue_id"), T.text_hash(F.col("text"))).alias("internal_id"))
+
+
+@query("SELECT DISTINCT repository, coalesce(nullif(regexp_replace(regexp_replace(repository, '[^A-Za-z0-9_.-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'split') AS safe FROM train_clean")
+def txt16_safe_name(spark, d):
+    return t(spark, d, "train_clean").select("repository", T.safe_name(F.col("repository")).alias("safe")).distinct()
+
+
+@query("SELECT vec_id, CASE WHEN list_max(embedding) >= 0.2 THEN cast(label AS VARCHAR) ELSE 'ABSTAIN' END AS decision FROM embeddings")
+def txt17_abstain(spark, d):
+    return t(spark, d, "embeddings").select("vec_id", T.abstain(F.col("label").cast("string"), F.col("embedding"), 0.2).alias("decision"))
+
+
+@query("SELECT vec_id, 'L' || (list_position(embedding, list_max(embedding)) - 1) AS best FROM embeddings")
+def txt18_argmax(spark, d):
+    v = t(spark, d, "embeddings")
+    width = len(v.select("embedding").first()[0])
+    return v.select("vec_id", T.argmax_label(F.col("embedding"), [f"L{i}" for i in range(width)]).alias("best"))
+
+
+_STAGES = """(SELECT row_id, project, canonical_label, text, CASE WHEN row_id % 3 = 0 THEN 'QUESTION' ELSE 'BUG' END AS s1, CASE WHEN row_id % 3 = 0 THEN NULL WHEN upper(trim(canonical_label)) = 'BOH' THEN 'BOH' ELSE 'MAN' END AS s2,
+    CASE WHEN row_id % 3 > 0 AND upper(trim(canonical_label)) <> 'BOH' THEN CASE WHEN upper(trim(canonical_label)) = 'ARB' THEN 'ARB' ELSE 'NAM' END END AS s3 FROM mandelbugs)"""
+
+
+def _stages(spark, d):
+    m, x = t(spark, d, "mandelbugs"), F.upper(F.trim("canonical_label"))
+    bug = F.col("row_id") % 3 > 0
+    return m.withColumns({
+        "s1": F.when(bug, "BUG").otherwise("QUESTION"), "s2": F.when(bug, F.when(x == "BOH", "BOH").otherwise("MAN")),
+        "s3": F.when(bug & (x != "BOH"), F.when(x == "ARB", "ARB").otherwise("NAM")),
+    })
+
+
+@query(f"SELECT row_id, coalesce(nullif(s3, ''), nullif(s2, ''), s1) AS final_label FROM {_STAGES}")
+def txt19_final_label(spark, d):
+    return _stages(spark, d).select("row_id", T.final_label(F.col("s1"), F.col("s2"), F.col("s3")).alias("final_label"))
+
+
+@query(f"SELECT row_id, CASE WHEN s1 <> 'BUG' THEN s1 WHEN s2 = 'BOH' THEN s2 ELSE s3 END AS label FROM {_STAGES}")
+def t16_route(spark, d):
+    return _stages(spark, d).select("row_id", T.route(F.col("s1"), F.col("s2"), F.col("s3")).alias("label"))
+
+
+@query()
+def tok22_crc_tokens(spark, d):
+    return t(spark, d, "train_clean").select("row_id", T.crc_tokens(F.col("text"), 256).alias("input_ids"))
+
+
+@query(f"SELECT row_id, 2 + least(254, len(list_filter(regexp_split_to_array(text, '{_CLASS}+'), lambda x: x <> ''))) AS tokens FROM train_clean")
+def tok21_token_lengths(spark, d):
+    return t(spark, d, "train_clean").select("row_id", F.size(T.crc_tokens(F.col("text"), 256)).cast("bigint").alias("tokens"))
+
+
+@query(f"""WITH l AS (SELECT row_id, row_id // 512 AS b, 2 + least(254, len(list_filter(regexp_split_to_array(text, '{_CLASS}+'), lambda x: x <> ''))) AS n FROM train_clean)
+    SELECT row_id, max(n) OVER (PARTITION BY b) AS width, n AS used FROM l""")
+def tok23_dynamic_padding(spark, d):
+    """Rows padded to the widest of their batch of 512 row ids."""
+    x = t(spark, d, "train_clean").select("row_id", F.floor(F.col("row_id") / 512).alias("b"), T.crc_tokens(F.col("text"), 256).alias("ids"))
+    wide = x.groupBy("b").agg(F.max(F.size("ids")).alias("w"))
+    padded = x.join(wide, "b").select("row_id", F.concat("ids", F.array_repeat(F.lit(0), (F.col("w") - F.size("ids")).cast("int"))).alias("input_ids"), F.size("ids").alias("used"))
+    return padded.select("row_id", F.size("input_ids").cast("bigint").alias("width"), F.col("used").cast("bigint").alias("used"))
+
+
+# --- filters and checks
+
+
+@query(f"SELECT row_id, {_clean('title')} AS title FROM train_clean WHERE {_clean('title')} <> '' OR {_clean('body')} <> ''")
+def f01_nonblank(spark, d):
+    return issues(spark, d, "train_clean").select("row_id", "title")
+
+
+@query("SELECT row_id, CASE WHEN canonical_label IN ('ARB', 'NAM') THEN 'MAN' ELSE canonical_label END AS canonical_label FROM mandelbugs WHERE canonical_label IN ('BOH', 'MAN', 'ARB', 'NAM')")
+def f02_stage2_filter(spark, d):
+    return D.stage2_rows(t(spark, d, "mandelbugs")).select("row_id", "canonical_label")
+
+
+@query("SELECT row_id, canonical_label FROM mandelbugs WHERE canonical_label IN ('ARB', 'NAM')")
+def f03_stage3_filter(spark, d):
+    return D.stage3_rows(t(spark, d, "mandelbugs")).select("row_id", "canonical_label")
+
+
+@query("SELECT row_id, project FROM mandelbugs m WHERE NOT EXISTS (SELECT 1 FROM validation_predictions p WHERE p.project = m.project)")
+def f04_heldout_exclusion(spark, d):
+    return D.exclude_projects(t(spark, d, "mandelbugs"), t(spark, d, "validation_predictions")).select("row_id", "project")
+
+
+@query("SELECT issue_id, canonical_label, prediction, scored_at FROM validation_predictions WHERE coalesce(canonical_label <> prediction, TRUE)")
+def f05_misclassified(spark, d):
+    return D.misclassified(t(spark, d, "validation_predictions"), "canonical_label").select("issue_id", "canonical_label", "prediction", "scored_at")
+
+
+@query(f"SELECT count(*) AS rows, count(*) FILTER (text IS NULL OR {_strip('text')} = '') AS blank_texts, count(*) FILTER (canonical_label IS NULL) AS null_labels, count(*) FILTER (canonical_label NOT IN ('BUG', 'ENHANCEMENT', 'QUESTION', 'DOCUMENTATION')) AS unexpected_labels FROM train_clean")
+def v01_validation_report(spark, d):
+    return D.validation_report(t(spark, d, "train_clean"))
+
+
+@query(f"SELECT DISTINCT original_label FROM {_issues('train_clean')} WHERE canon IS NULL")
+def v02_unmapped_labels(spark, d):
+    return D.unmapped_labels(issues(spark, d, "train_clean"))
+
+
+@query("""SELECT 'train_clean/test/text_hash' AS "check", count(*) AS violations FROM (SELECT DISTINCT text_hash FROM train_clean WHERE text_hash IN (SELECT text_hash FROM test WHERE text_hash IS NOT NULL))
+    UNION ALL SELECT 'validation_clean/test/text_hash', count(*) FROM (SELECT DISTINCT text_hash FROM validation_clean WHERE text_hash IN (SELECT text_hash FROM test WHERE text_hash IS NOT NULL))
+    UNION ALL SELECT 'train_clean/validation_clean/issue_id', count(*) FROM (SELECT DISTINCT issue_id FROM train_clean WHERE issue_id IN (SELECT issue_id FROM validation_clean WHERE issue_id IS NOT NULL))""")
+def v04_variant_checks(spark, d):
+    return D.variant_checks({x: t(spark, d, x) for x in ("train_clean", "validation_clean", "test")})
+
+
+@query(f"SELECT canonical_label, count(*) AS rows, count(*) FILTER (text IS NULL OR {_strip('text')} = '') AS blank_texts FROM train_clean GROUP BY 1")
+def v06_inspect_counts(spark, d):
+    return D.inspect(t(spark, d, "train_clean"))
+
+
+@query("SELECT DISTINCT prediction AS canonical_label FROM validation_predictions WHERE prediction IS NOT NULL AND prediction NOT IN (SELECT canonical_label FROM train_clean WHERE canonical_label IS NOT NULL)")
+def v07_label_domain(spark, d):
+    return D.label_domain_gap(t(spark, d, "validation_predictions").select(F.col("prediction").alias("canonical_label")), t(spark, d, "train_clean"))
+
+
+# --- deduplication, joins, set operations
+
+
+@query(f"SELECT row_id, h AS text_hash FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY row_id) AS r FROM {_issues('train_clean')}) WHERE r = 1")
+def w01_dedup_keep_first(spark, d):
+    return D.keep_first(issues(spark, d, "train_clean")).select("row_id", "text_hash")
+
+
+@query("""SELECT row_id, CASE WHEN a THEN issue_id || ':' || substr(text_hash, 1, 16) ELSE issue_id END AS issue_id, CASE WHEN a THEN issue_id END AS source_issue_id
+    FROM test, (SELECT max(n) > 1 AS a FROM (SELECT count(*) AS n FROM test GROUP BY issue_id))""")
+def w02_unique_ids(spark, d):
+    return D.unique_ids(t(spark, d, "test")).select("row_id", "issue_id", "source_issue_id")
+
+
+@query("SELECT row_id, text_hash FROM test WHERE text_hash IN (SELECT text_hash FROM train_clean)")
+def j01_overlap(spark, d):
+    return D.overlap(t(spark, d, "train_clean"), t(spark, d, "test")).select("row_id", "text_hash")
+
+
+@query(f"SELECT row_id, h AS text_hash FROM {_issues('train_clean')} x WHERE NOT EXISTS (SELECT 1 FROM {_issues('test')} y WHERE y.h = x.h)")
+def j02_leakage_free(spark, d):
+    return D.without_overlap(issues(spark, d, "train_clean"), issues(spark, d, "test")).select("row_id", "text_hash")
+
+
+@query("SELECT row_id, issue_id, canonical_label, source_issue_id, NULL::VARCHAR AS project FROM train_clean UNION ALL SELECT row_id, issue_id, canonical_label, NULL, project FROM mandelbugs")
+def o01_union_outer(spark, d):
+    return D.union_outer(t(spark, d, "train_clean").select("row_id", "issue_id", "canonical_label", "source_issue_id"), t(spark, d, "mandelbugs").select("row_id", "issue_id", "canonical_label", "project"))
+
+
+@query("SELECT issue_id FROM train_clean INTERSECT SELECT issue_id FROM validation_clean")
+def o03_id_intersect(spark, d):
+    return t(spark, d, "train_clean").select("issue_id").intersect(t(spark, d, "validation_clean").select("issue_id"))
+
+
+@query("SELECT original_label FROM train_clean EXCEPT SELECT original_label FROM test")
+def o04_except(spark, d):
+    return t(spark, d, "train_clean").select("original_label").subtract(t(spark, d, "test").select("original_label"))
+
+
+@query(f"""WITH tr AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY row_id) AS r FROM {_issues('train_clean')}), te AS (SELECT h FROM {_issues('test')})
+    SELECT repository, count(*) AS rows, min(h) AS least_hash FROM tr WHERE r = 1 AND h NOT IN (SELECT h FROM te) GROUP BY 1""")
+def leakage_free_train(spark, d):
+    """Deduplicated training rows that aren't in the official test, per repository."""
+    clean = D.without_overlap(D.keep_first(issues(spark, d, "train_clean")), issues(spark, d, "test"))
+    return clean.groupBy("repository").agg(F.count("*").alias("rows"), F.min("text_hash").alias("least_hash"))
+
+
+# --- statistics
+
+
+@query("SELECT count(*) AS rows, count(canonical_label) AS labelled, count(DISTINCT repository) AS repositories, count(*) - count(DISTINCT text_hash) - max((text_hash IS NULL)::INT) AS duplicate_hashes FROM train_clean")
+def a01_dataset_stats(spark, d):
+    return D.statistics(t(spark, d, "train_clean"))
+
+
+@query("SELECT canonical_label, count(*) AS n FROM train_clean WHERE canonical_label IS NOT NULL GROUP BY 1")
+def a02_class_counts(spark, d):
+    return D.class_counts(t(spark, d, "train_clean"))
+
+
+@query("SELECT coalesce(sum(n), 0)::BIGINT AS affected FROM (SELECT count(*) AS n FROM test GROUP BY issue_id) WHERE n > 1")
+def a04_shared_source_ids(spark, d):
+    return D.shared_ids(t(spark, d, "test"))
+
+
+@query("SELECT canonical_label, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight FROM (SELECT upper(trim(canonical_label)) AS canonical_label, count(*) AS n FROM train_clean WHERE canonical_label IS NOT NULL GROUP BY 1)")
+def a05_class_weights(spark, d):
+    return D.class_weights(t(spark, d, "train_clean").select(F.upper(F.trim("canonical_label")).alias("canonical_label"))).select("canonical_label", F.round("weight", 9).alias("weight"))
+
+
+_CONF = """c AS (SELECT canonical_label AS truth, prediction, count(*) AS n FROM validation_predictions WHERE canonical_label IS NOT NULL AND prediction IS NOT NULL GROUP BY ALL),
+    l AS (SELECT truth AS x FROM c UNION SELECT prediction FROM c), g AS (SELECT a.x AS truth, b.x AS prediction, coalesce(n, 0) AS n FROM l a CROSS JOIN l b LEFT JOIN c ON c.truth = a.x AND c.prediction = b.x),
+    p AS (SELECT x AS label, (SELECT sum(n) FROM g WHERE truth = x) AS support, (SELECT sum(n) FROM g WHERE prediction = x) AS guessed, (SELECT sum(n) FROM g WHERE truth = x AND prediction = x) AS hit FROM l),
+    q AS (SELECT label, support, guessed, hit, CASE WHEN guessed = 0 THEN 0 ELSE hit / guessed END AS precision, CASE WHEN support = 0 THEN 0 ELSE hit / support END AS recall, CASE WHEN support + guessed = 0 THEN 0 ELSE 2 * hit / (support + guessed) END AS f1 FROM p)"""
+
+
+def _confusion(spark, d):
+    return M.confusion(t(spark, d, "validation_predictions"), "canonical_label", "prediction")
+
+
+@query(f"WITH {_CONF} SELECT truth, prediction, n FROM g")
+def a07_confusion(spark, d):
+    return _confusion(spark, d)
+
+
+@query(f"WITH {_CONF} SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support::BIGINT AS support FROM q")
+def a12_per_class(spark, d):
+    return M.per_class(_confusion(spark, d)).select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+_SUM = """SELECT metric, round(value, 9) AS value FROM (SELECT sum(hit) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(hit) / sum(support) AS micro_f1, sum(f1 * support) / sum(support) AS weighted_f1, avg(recall) FILTER (support > 0) AS balanced_accuracy,
+    CASE WHEN (sum(support)::DOUBLE ** 2 - sum(guessed ** 2)) * (sum(support)::DOUBLE ** 2 - sum(support ** 2)) = 0 THEN 0 ELSE (sum(hit)::DOUBLE * sum(support) - sum(support::DOUBLE * guessed)) / sqrt((sum(support)::DOUBLE ** 2 - sum(guessed ** 2)) * (sum(support)::DOUBLE ** 2 - sum(support ** 2))) END AS mcc FROM q)
+    UNPIVOT (value FOR metric IN (accuracy, macro_f1, micro_f1, weighted_f1, balanced_accuracy, mcc))"""
+
+
+@query(f"WITH {_CONF} {_SUM}")
+def a13_metrics(spark, d):
+    return M.summary(_confusion(spark, d)).select("metric", F.round("value", 9).alias("value"))
+
+
+@query(f"""WITH {_CONF.replace("canonical_label AS truth, prediction, count(*) AS n FROM validation_predictions WHERE canonical_label IS NOT NULL AND prediction IS NOT NULL", "coalesce(nullif(s3, ''), nullif(s2, ''), s1) AS truth, canonical_label AS prediction, count(*) AS n FROM " + _STAGES)} {_SUM}""")
+def a14_hierarchy_metrics(spark, d):
+    x = _stages(spark, d).select(T.final_label(F.col("s1"), F.col("s2"), F.col("s3")).alias("final_label"), F.col("canonical_label").alias("prediction"))
+    return M.summary(M.confusion(x, "final_label", "prediction")).select("metric", F.round("value", 9).alias("value"))
+
+
+# --- samples and splits
+
+
+def _labelled(spark, d):
+    return t(spark, d, "train_clean").select("row_id", F.upper(F.trim("canonical_label")).alias("canonical_label"), F.lower(F.trim("repository")).alias("repository"))
+
+
+_LAB = "(SELECT row_id, upper(trim(canonical_label)) AS c, md5('42:' || row_id) AS h FROM train_clean WHERE canonical_label IS NOT NULL)"
+
+
+def _stratified(size: str, out: str) -> str:
+    return f"""WITH x AS (SELECT * FROM {_LAB}), n AS (SELECT c, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS t FROM x GROUP BY c), z AS (SELECT least({size}, max(t))::BIGINT AS s FROM n),
+    q AS (SELECT c, s * n // t AS f, row_number() OVER (ORDER BY s * n % t DESC, c) AS k, s - sum(s * n // t) OVER () AS rest FROM n, z),
+    r AS (SELECT row_id, c, row_number() OVER (PARTITION BY c ORDER BY h, row_id) AS r FROM x) SELECT row_id, {out} FROM r JOIN q USING (c)"""
+
+
+@query(_stratified("500", "c AS canonical_label") + " WHERE r <= f + (k <= rest)::INT")
+def x05_stratified_limit(spark, d):
+    return S.stratified_limit(_labelled(spark, d), 500).select("row_id", "canonical_label")
+
+
+@query(_stratified("ceil(max(t) * 0.15)", "CASE WHEN r <= f + (k <= rest)::INT THEN 'validation' ELSE 'train' END AS split"))
+def x02_stratified_split(spark, d):
+    return S.stratified_split(_labelled(spark, d), 0.15).select("row_id", "split")
+
+
+@query(f"""WITH x AS (SELECT * FROM {_LAB}), r AS (SELECT row_id, c, row_number() OVER (PARTITION BY c ORDER BY h, row_id) AS r FROM x)
+    SELECT row_id, c AS canonical_label FROM r WHERE r <= (SELECT 400 // count(DISTINCT c) FROM x) OR (SELECT count(*) FROM x) <= 400""")
+def x04_balanced_sample(spark, d):
+    return S.balanced_sample(_labelled(spark, d), 400).select("row_id", "canonical_label")
+
+
+@query("""WITH g AS (SELECT DISTINCT coalesce(lower(trim(repository)), '') AS g FROM train_clean), r AS (SELECT g, row_number() OVER (ORDER BY md5('42:' || g), g) AS r FROM g)
+    SELECT row_id, CASE WHEN r <= (SELECT ceil(count(*) * 0.15) FROM g) THEN 'validation' ELSE 'train' END AS split FROM train_clean JOIN r ON g = coalesce(lower(trim(repository)), '')""")
+def x01_group_split(spark, d):
+    return S.group_split(_labelled(spark, d), 0.15).select("row_id", "split")
+
+
+@query("SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) AS r FROM train_clean) WHERE r <= (SELECT ceil(count(*) * 0.1) FROM train_clean)")
+def x09_holdout(spark, d):
+    return S.holdout(t(spark, d, "train_clean").select("row_id"), 0.1)
+
+
+@query()
+def x08_group_kfold(spark, d):
+    return S.group_folds(t(spark, d, "mandelbugs").select(F.lower(F.trim("project")).alias("project")))
+
+
+# --- text features
+
+
+_GRAMS = r"""w AS (SELECT row_id, regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}_]{2,}') AS w FROM train_clean),
+    e AS (SELECT row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), c AS (SELECT row_id, term, count(*) AS tf FROM e GROUP BY ALL),
+    v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM c GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.98 * (SELECT count(*) FROM train_clean) ORDER BY tf DESC, term LIMIT 2000)"""
+
+
+@query(f"WITH {_GRAMS} SELECT term, df, tf FROM v")
+def l05_vocabulary(spark, d):
+    x = t(spark, d, "train_clean").select("row_id", "title")
+    return X.vocabulary(X.term_counts(x, "row_id", X.word_terms(F.col("title"))), x.count(), 3, 0.98, 2000)
+
+
+@query(f"""WITH {_GRAMS}, x AS (SELECT row_id, term, (1 + ln(c.tf)) * (ln((1.0 + (SELECT count(*) FROM train_clean)) / (1 + df)) + 1) AS w FROM c JOIN v USING (term))
+    SELECT row_id, 'word' AS block, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) AS weight FROM x""")
+def t02_tfidf_word(spark, d):
+    return X.tfidf(t(spark, d, "train_clean").select("row_id", "title"), "row_id", "title", X.TfidfConfig(mode="word", word_max_features=2000)).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def t04_tfidf_union(spark, d):
+    return X.tfidf(t(spark, d, "train_clean").select("row_id", "text"), "row_id", "text", X.TfidfConfig(word_max_features=20_000, char_max_features=20_000))
+
+
+@query(f"WITH {_GRAMS} SELECT count(DISTINCT row_id) AS rows, count(*) AS nnz, count(*) * 8 + (count(DISTINCT row_id) + 1) * 4 AS bytes FROM c JOIN v USING (term)")
+def a16_matrix_bytes(spark, d):
+    return X.matrix_bytes(X.tfidf(t(spark, d, "train_clean").select("row_id", "title"), "row_id", "title", X.TfidfConfig(mode="word", word_max_features=2000)), "row_id")
+
+
+@query("SELECT text, canonical_label FROM train_clean")
+def s06_projected_scan(spark, d):
+    return t(spark, d, "train_clean").select("text", "canonical_label")
