@@ -407,3 +407,42 @@ def a16_matrix_bytes(spark, d):
 @query("SELECT text, canonical_label FROM train_clean")
 def s06_projected_scan(spark, d):
     return t(spark, d, "train_clean").select("text", "canonical_label")
+
+
+@query()
+def prepare_splits(spark, d):
+    """Rows and labels of every split of the preparation plan over train_clean and test."""
+    from issuequarry.plans.prepare import prepare_frames
+
+    out, _ = prepare_frames(issues(spark, d, "train_clean"), issues(spark, d, "test"))
+    return D.union_outer(*[x.select(F.lit(n).alias("split"), "canonical_label") for n, x in out.items()]).groupBy("split", "canonical_label").agg(F.count("*").alias("rows"))
+
+
+@query()
+def t05_linear_svm(spark, d):
+    """Metrics on validation_clean of the linear classifier fitted on train_clean."""
+    from issuequarry.plans.models import fit_linear, predict_linear
+
+    x = lambda n: t(spark, d, n).select("row_id", "text", F.upper(F.trim("canonical_label")).alias("canonical_label")).filter("canonical_label IS NOT NULL")
+    return M.summary(M.confusion(predict_linear(fit_linear(x("train_clean"), features=1 << 16, iterations=10), x("validation_clean")), "canonical_label", "prediction"))
+
+
+@query("SELECT row_id, CASE WHEN contains(lower(text), 'expected') THEN 'BUG' ELSE 'QUESTION' END AS prediction FROM validation_clean")
+def t07_batched_predict(spark, d):
+    """A plug-in model, made once a task and fed in batches."""
+    from issuequarry.plans.models import predict_in_batches
+
+    class Rule:
+        def predict(self, texts: list[str]) -> list[str]:
+            return ["BUG" if "expected" in x.lower() else "QUESTION" for x in texts]
+
+    return predict_in_batches(t(spark, d, "validation_clean").select("row_id", "text"), Rule).select("row_id", "prediction")
+
+
+@query(f"SELECT row_id, CASE WHEN s1 <> 'BUG' THEN s1 WHEN s2 = 'BOH' THEN s2 ELSE s3 END AS final_label FROM {_STAGES}")
+def t15_hierarchy(spark, d):
+    """Three stages, each over the rows that the one before passes on."""
+    from issuequarry.plans.models import hierarchy
+
+    x = _stages(spark, d)
+    return hierarchy(x, tuple(lambda f, c=c: f.withColumn("prediction", F.col(c)) for c in ("s1", "s2", "s3"))).select("row_id", "final_label")
