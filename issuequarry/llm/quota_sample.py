@@ -147,12 +147,12 @@ def draw(df: DataFrame, plans: DataFrame, category: str = "canonical_label", uni
             quota += [(plan, w["c"], s, cells[i][j]) for j, s in enumerate(cols) if cells and cells[i][j]]
     q = F.broadcast(spark.createDataFrame(quota, "plan_name string, c string, s int, q long"))  # plans x categories x (strata + 1) rows
     upto = hist.withColumn("upto", F.sum("m").over(Window.partitionBy("c", "s").orderBy("g")))  # at most RANGES rows a window
-    cut = upto.join(q, ["c", "s"]).filter(F.col("upto") - F.col("m") < F.col("q"))
-    take = F.broadcast(cut.groupBy("c", "s", "g").agg(F.collect_list(F.struct("plan_name", (F.col("q") - (F.col("upto") - F.col("m"))).alias("left"), (F.col("upto") > F.col("q")).alias("border"))).alias("p")))
-    hit = units.join(take, ["c", "s", "g"]).select("c", "u", "b", "s", "h", "g", F.inline("p"))
-    order = Window.partitionBy("plan_name", "c", "s", "g").orderBy("h", "u")
-    border = hit.filter("border").withColumn("r", F.row_number().over(order)).filter("r <= left")
-    sample = scratch.keep(hit.filter("not border").select("plan_name", "c", "u", "b").unionAll(border.select("plan_name", "c", "u", "b")))
+    reach = upto.join(q, ["c", "s"]).filter(F.col("upto") >= F.col("q")).groupBy("plan_name", "c", "s", "q").agg(F.min(F.struct("g", "upto", "m")).alias("x"))
+    cuts = reach.groupBy("c", "s").agg(F.collect_list(F.struct("plan_name", F.col("x.g").alias("cut"), (F.col("q") - F.col("x.upto") + F.col("x.m")).alias("left"))).alias("p"))
+    hit = units.join(F.broadcast(cuts), ["c", "s"]).select("c", "u", "b", "s", "h", "g", F.inline("p")).filter("g <= cut")  # categories x (strata + 1) rows
+    order = Window.partitionBy("plan_name", "c", "s").orderBy("h", "u")  # the one range of each cell that holds its cut
+    border = hit.filter("g = cut").withColumn("r", F.row_number().over(order)).filter("r <= left")
+    sample = scratch.keep(hit.filter("g < cut").select("plan_name", "c", "u", "b").unionAll(border.select("plan_name", "c", "u", "b")))
     drawn = sample.groupBy("plan_name", "c").agg(F.count("*").alias("drawn"))
     told = spark.createDataFrame(report, "plan_name string, c string, target_share double, min_rows long, sample_rows long, wanted double, available long")
     full = told.join(drawn, ["plan_name", "c"], "left").select(

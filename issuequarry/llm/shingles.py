@@ -70,7 +70,7 @@ def sketches(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def sketch_budget(t: float) -> int:
     q = (1 - t) / 2
-    return math.floor(SKETCH * q + 4.6 * math.sqrt(SKETCH * q * (1 - q)))
+    return math.floor(SKETCH * q + 4.0 * math.sqrt(SKETCH * q * (1 - q)))
 
 
 class RunHasher:
