@@ -29,7 +29,7 @@ def prepare_frames(train: DataFrame, test: DataFrame, share: float = 0.15, seed:
     }
     before, after, cleaned = train.count(), kept.count(), clean.count()
     facts = {
-        "rows": before, "duplicates_removed": before - after, "train_rows_removed_for_test_overlap": after - cleaned, "test_rows_overlapping": D.overlap(kept, test).count(),
+        "train_rows": before, "duplicates_removed": before - after, "train_rows_removed_for_test_overlap": after - cleaned, "test_rows_overlapping": D.overlap(kept, test).count(),
         "split_strategy": how, "clean_split_strategy": how_clean, "rows_with_shared_source_id": D.shared_ids(D.keep_first(train)).first()[0],
     }
     return out, facts
