@@ -142,28 +142,34 @@ def cell_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (mix(h, 21) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def count_sketch(base: DataFrame, most_bits: int = 25) -> tuple[bytes, int, float]:
+def count_sketch(base: DataFrame, most_bits: int = 26) -> tuple[bytes, int, float]:
     """Counts of all runs of all rows by hash cell, as 8-bit levels (exact up to 3, then 8 a doubling); cells grow with the corpus up to 2^most_bits,
-    which bounds what the driver gets and hands out (32 MB). Also the mean count of a cell."""
+    which bounds what the driver gets and hands out (64 MB). Also the mean count of a cell."""
     total = base.agg(F.sum("n")).first()[0] or 0
     bits = min(most_bits, max(16, math.ceil(math.log2(1.45 * total + 1))))  # 0.35 to 0.7 runs a cell below the bound
-    piece = 1 << 14
+    piece = 1 << 15
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        def packed(held: list) -> pa.RecordBatch:
+            c, where = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            m = np.bincount(where, weights=np.concatenate([x[1] for x in held])).astype("<u4")
+            at = np.searchsorted(c, np.arange(0, (1 << bits) + piece, piece))
+            ids = np.flatnonzero(np.diff(at)).tolist()
+            gaps = [zlib.compress(np.diff(c[at[p] : at[p + 1]] - p * piece, prepend=0).astype("<u2").tobytes(), 1) for p in ids]  # small numbers pack well
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(gaps, pa.binary()), pa.array([zlib.compress(m[at[p] : at[p + 1]].tobytes(), 1) for p in ids], pa.binary())], ["p", "i", "c"])
+
+        held, n = [], 0
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 blob = b"".join(x for x in b.column(0).slice(i, 4096).to_pylist() if x)
                 if blob:
-                    c, m = np.unique(cell_of(unpack(blob), bits), return_counts=True)
-                    counts[c] += m.astype(np.uint32)
-        ids, at, data = [], [], []
-        for p in range(0, 1 << bits, piece):
-            nz = np.flatnonzero(counts[p : p + piece])
-            if len(nz):
-                gaps = np.diff(nz, prepend=0).astype("<u2")  # small numbers pack well
-                ids.append(p // piece), at.append(zlib.compress(gaps.tobytes(), 1)), data.append(zlib.compress(counts[p : p + piece][nz].astype("<u4").tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(at, pa.binary()), pa.array(data, pa.binary())], ["p", "i", "c"])
+                    held.append(np.unique(cell_of(unpack(blob), bits), return_counts=True))
+                    n += len(held[-1][0])
+                if n > 4_000_000:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}

@@ -31,6 +31,7 @@ LOOKALIKES = {
 # Members that only stand in for their Latin letter.
 STAND_INS = "ɡϲϳϹͿѵѴԛԝԜԁһҮӀ"
 
+_MEMBERS = frozenset("".join(LOOKALIKES.values()))
 SWITCH = -12.0  # another script inside a word
 PRIOR = 3.0  # the script that leads in the text
 
@@ -70,6 +71,8 @@ def fold_point(cp: int) -> str:
     d = unicodedata.decomposition(ch)
     if not d:
         return unicodedata.normalize("NFD", ch)
+    if d[0] == "<" and ch in _MEMBERS:
+        return ch
     if d[0] == "<":
         tag, rest = d.split(" ", 1)
         if tag in _TAGS or tag == "<compat>" and cat[0] == "L" and not 0x3131 <= cp <= 0x318E:
