@@ -443,13 +443,13 @@ def bloom(keys: DataFrame, most_bits: int = 26) -> tuple[bytes, int]:
             m[cell_of(b.column(0).to_numpy(), bits)] = True
         m = np.packbits(m)
         ids = [p for p in range(-(-len(m) // piece)) if m[p * piece : (p + 1) * piece].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([m[p * piece : (p + 1) * piece].tobytes() for p in ids], pa.binary())], ["p", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([zlib.compress(m[p * piece : (p + 1) * piece].tobytes(), 1) for p in ids], pa.binary())], ["p", "m"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_: dict[int, np.ndarray] = {}
         for b in batches:
             for p, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m = np.frombuffer(m, np.uint8)
+                m = np.frombuffer(zlib.decompress(m), np.uint8)
                 all_[p] = all_[p] | m if p in all_ else m
         yield pa.RecordBatch.from_arrays([pa.array(list(all_), pa.int32()), pa.array([m.tobytes() for m in all_.values()], pa.binary())], ["p", "m"])
 
