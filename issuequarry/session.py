@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}  # folders of local sessions that name none
+
+
 def get_session(app: str = "issuequarry", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Kryo; other settings stay with the cluster."""
     b = SparkSession.builder.appName(app)
@@ -29,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         master = spark.sparkContext.master
-        if not master.startswith("local["):
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="issuequarry-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="issuequarry-")
+        _OWN[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 
