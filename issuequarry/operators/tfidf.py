@@ -1,14 +1,14 @@
 """Bounded TF-IDF in long form: (key, term, weight), L2-normed by row.
 
-weight = (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1); terms with df in [min_df, max_df * N], of these the max_features most frequent (ties by term). Terms are counted per row before
-anything is shuffled, and the vocabulary is bounded by max_features, so it may be broadcast.
+weight = (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1); terms with df in [min_df, max_df * N], of these the max_features most frequent (ties by term). Texts are shuffled by key, which is
+less than their terms; terms are then counted, weighted and normed in place, and the vocabulary is bounded by max_features, so it may be broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -53,13 +53,13 @@ def word_terms(text: Column, low: int = 1, high: int = 2) -> Column:
 
 
 def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return df.repartition(key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def char_counts(df: DataFrame, key: str, text: str, low: int = 3, high: int = 5) -> DataFrame:
     """n-grams inside words with a space at either end; they are cut once for each distinct word of a row."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda x: x != "")
-    w = df.select(key, F.explode(words).alias("w")).groupBy(key, "w").agg(F.count("*").alias("m")).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
+    w = df.repartition(key).select(key, F.explode(words).alias("w")).groupBy(key, "w").agg(F.count("*").alias("m")).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
     lens = F.array(*[F.lit(n) for n in range(low, high + 1)])
     cut = w.select(key, "m", "w", F.explode(lens).alias("n")).filter("n <= length(w)").select(key, "m", F.explode(F.expr("transform(sequence(1, length(w) - n + 1), i -> substring(w, i, n))")).alias("term"))
     return cut.groupBy(key, "term").agg(F.sum("m").alias("tf"))
@@ -74,8 +74,8 @@ def vocabulary(counts: DataFrame, rows: int, min_df: int, max_df: float, max_fea
 def weights(counts: DataFrame, vocab: DataFrame, rows: int, key: str) -> DataFrame:
     idf = F.log(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1
     x = counts.join(F.broadcast(vocab.select("term", idf.alias("idf"))), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return x.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return x.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf(df: DataFrame, key: str, text: str, config: TfidfConfig) -> DataFrame:

@@ -394,6 +394,23 @@ def t02_tfidf_word(spark, d):
     return X.tfidf(t(spark, d, "train_clean").select("row_id", "title"), "row_id", "title", X.TfidfConfig(mode="word", word_max_features=2000)).withColumn("weight", F.round("weight", 6))
 
 
+@query()
+def l05_vocabulary_whole(spark, d):
+    """The vocabulary of the model text at the operator's own limits."""
+    c, x = X.TfidfConfig(mode="word"), t(spark, d, "train_clean").select("row_id", "text")
+    return X.vocabulary(X.term_counts(x, "row_id", X.word_terms(F.col("text"), *c.word_ngram_range)), x.count(), c.word_min_df, c.max_df, c.word_max_features)
+
+
+@query()
+def t02_tfidf_word_whole(spark, d):
+    return X.tfidf(t(spark, d, "train_clean").select("row_id", "text"), "row_id", "text", X.TfidfConfig(mode="word"))
+
+
+@query()
+def a16_matrix_bytes_whole(spark, d):
+    return X.matrix_bytes(t02_tfidf_word_whole(spark, d), "row_id")
+
+
 @query()
 def t04_tfidf_union(spark, d):
     return X.tfidf(t(spark, d, "train_clean").select("row_id", "text"), "row_id", "text", X.TfidfConfig(word_max_features=20_000, char_max_features=20_000))

@@ -1,4 +1,6 @@
 import math
+from collections import Counter
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from issuequarry.operators import data as D
 from issuequarry.operators import metrics as M
 from issuequarry.operators import sampling as S
 from issuequarry.operators import tfidf as X
+from issuequarry.queries import QUERIES as Q
 
 
 def test_dedup_overlap_and_leakage(spark):
@@ -83,6 +86,44 @@ def test_tfidf_formula(spark):
         X.TfidfConfig(mode="x")
 
 
+def whole_text(spark, path, copies, words):
+    """Rows of one long text that share no word of their titles, and a short one."""
+    text = " ".join(words)
+    rows = [(i, f"title {i}", text) for i in range(copies)] + [(copies, "title", words[0] + " other other")]
+    spark.createDataFrame(rows, "row_id long, title string, text string").coalesce(2).write.parquet(f"{path}/train_clean.parquet")
+    return {r[0]: r[2].split() for r in rows}
+
+
+def weights_by_hand(grams, rows, min_df, most):
+    tf = {k: Counter(g) for k, g in grams.items()}
+    df, total = Counter(x for c in tf.values() for x in c), sum(tf.values(), Counter())
+    vocab = sorted((x for x, n in df.items() if min_df <= n <= 0.98 * rows), key=lambda x: (-total[x], x))[:most]
+    kept = set(vocab)
+    w = {(k, x): (1 + math.log(n)) * (math.log((1 + rows) / (1 + df[x])) + 1) for k, c in tf.items() for x, n in c.items() if x in kept}
+    norm = Counter()
+    for (k, _), x in w.items():
+        norm[k] += x * x
+    return {x: (df[x], total[x]) for x in vocab}, {(k, x): v / math.sqrt(norm[k]) for (k, x), v in w.items()}
+
+
+def word_grams(docs):
+    return {k: w + [f"{a} {b}" for a, b in pairwise(w)] for k, w in docs.items()}
+
+
+def close(got, want):
+    return got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_word_queries_take_the_whole_text(spark, tmp_path):
+    docs = whole_text(spark, tmp_path, 3, [f"w{i}" for i in range(1500)] + ["w7"])
+    vocab, want = weights_by_hand(word_grams(docs), 4, 3, 200_000)
+    assert len(vocab) > 2000
+    assert {r.term: (r.df, r.tf) for r in Q["l05_vocabulary_whole"](spark, str(tmp_path)).collect()} == vocab
+    assert close({(r.row_id, r.term): r.weight for r in Q["t02_tfidf_word_whole"](spark, str(tmp_path)).collect()}, want)
+    n = len({k for k, _ in want})
+    assert tuple(Q["a16_matrix_bytes_whole"](spark, str(tmp_path)).first()) == (n, len(want), len(want) * 8 + (n + 1) * 4)
+
+
 def test_plans(spark):
     plan = D.without_overlap(spark.range(9).selectExpr("string(id) AS text_hash"), spark.range(3).selectExpr("string(id) AS text_hash"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan
