@@ -413,7 +413,7 @@ def a16_matrix_bytes_whole(spark, d):
 
 @query()
 def t04_tfidf_union(spark, d):
-    return X.tfidf(t(spark, d, "train_clean").select("row_id", "text"), "row_id", "text", X.TfidfConfig(word_max_features=20_000, char_max_features=20_000))
+    return X.tfidf(t(spark, d, "train_clean").select("row_id", "text"), "row_id", "text", X.TfidfConfig())
 
 
 @query(f"WITH {_GRAMS} SELECT count(DISTINCT row_id) AS rows, count(*) AS nnz, count(*) * 8 + (count(DISTINCT row_id) + 1) * 4 AS bytes FROM c JOIN v USING (term)")

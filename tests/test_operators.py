@@ -1,6 +1,6 @@
 import math
 from collections import Counter
-from itertools import pairwise
+from itertools import groupby, pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +124,16 @@ def test_word_queries_take_the_whole_text(spark, tmp_path):
     assert tuple(Q["a16_matrix_bytes_whole"](spark, str(tmp_path)).first()) == (n, len(want), len(want) * 8 + (n + 1) * 4)
 
 
+def test_union_keeps_all_features(spark, tmp_path):
+    docs = whole_text(spark, tmp_path, 5, [f"w{i * 7919 % 99991:05d}" for i in range(11_000)])
+    edged = {k: [f" {x} " for x in w] for k, w in docs.items()}
+    chars = {k: [x[i : i + n] for x in w for n in (3, 4, 5) for i in range(len(x) - n + 1)] for k, w in edged.items()}
+    got = {b: {(r.row_id, r.term): r.weight for r in rows} for b, rows in groupby(sorted(Q["t04_tfidf_union"](spark, str(tmp_path)).collect(), key=lambda r: r.block), key=lambda r: r.block)}
+    for block, grams, least, most in (("word", word_grams(docs), 3, 200_000), ("char", chars, 5, 150_000)):
+        vocab, want = weights_by_hand(grams, 6, least, most)
+        assert len(vocab) > 20_000 and close(got[block], want)
+
+
 def test_plans(spark):
     plan = D.without_overlap(spark.range(9).selectExpr("string(id) AS text_hash"), spark.range(3).selectExpr("string(id) AS text_hash"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan
