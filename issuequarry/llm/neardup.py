@@ -2,11 +2,10 @@
 
 Sets of word runs are sparse 0/1 vectors; the likeness t bounds the dimensions in which two may differ. The join walks a trie over
 these vectors from rare to frequent dimensions. Its upper part is cut by a shuffle: pairs that agree on none of the first dimensions
-of both have used up their budget (shingles.py), the others meet in a block. Below, every block is a trie over the 128-bit sketches of its
-sets, in which pairs of nodes are walked together, differing bits add up, and a pair is pruned when they exceed the error budget. What
-is left walks a second trie, over 512 parity bits that never differ more often than the sets do. Pairs that reach its leaves are
-verified on the whole sets. The sketch's budget lies 4 standard deviations above the mean at likeness t: a link of exactly t is
-lost with a chance of 3e-5, a stronger one with far less; hot blocks go to the second trie at once.
+of both have used up their budget (shingles.py), the others meet in a block. Below, every block is a trie over 256 parity bits of its
+sets, which never differ more often than the sets do. Pairs of nodes are walked together, differing bits add up, and a pair is pruned when
+they exceed the error budget. What is left walks a second trie, over 512 parity bits. Pairs that reach its leaves are verified on the whole
+sets. No step loses a link; hot blocks go to the second trie at once.
 
 Nulls and empty texts: a null text is an empty one; texts without a run join only equal texts. Copies: one representative of each
 distinct set enters the join and its copies follow it. Repeated row ids and extra columns do no harm. Empty tables give no rows.

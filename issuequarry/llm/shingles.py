@@ -28,8 +28,10 @@ from issuequarry.llm.textform import ConsistentForm
 from issuequarry.session import Scratch
 
 MASK48 = (1 << 48) - 1
-BASE = "row_id bigint, side int, k bigint, n int, s1 bigint, s2 bigint, sh binary"
-SKETCH = 128
+WORDS = 4  # of the parity vector that a set takes to its cold blocks
+VECTOR = [f"v{i}" for i in range(WORDS)]
+BITS = ", ".join(f"{x} bigint" for x in VECTOR)
+BASE = f"row_id bigint, side int, k bigint, n int, {BITS}, sh binary"
 
 
 def pack(h: np.ndarray) -> bytes:
@@ -53,26 +55,6 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def sketches(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One bit of each of 128 minimum hashes of every set: two sets of likeness t differ in a bit with chance (1 - t) / 2. No run: all 0."""
-    out = np.zeros((len(n), 2), np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        x = mix(h, 41)
-        at = (np.cumsum(n) - n)[some]
-        with np.errstate(over="ignore"):
-            for i in range(SKETCH):
-                a = np.uint64(int(mix(np.array([i], np.uint64), 51)[0]) | 1)
-                low = np.minimum.reduceat(x * a, at)
-                out[some, i // 64] |= ((low >> np.uint64(29)) & np.uint64(1)) << np.uint64(63 - i % 64)
-    return out.view(np.int64)
-
-
-def sketch_budget(t: float) -> int:
-    q = (1 - t) / 2
-    return math.floor(SKETCH * q + 4.0 * math.sqrt(SKETCH * q * (1 - q)))
-
-
 class RunHasher:
     """Texts of a batch to (content key, number of runs, packed sorted runs)."""
 
@@ -118,7 +100,7 @@ class RunHasher:
         empty = n == 0
         if empty.any():
             key[empty] = mix(np.array(whole, np.uint64)[empty], 11)
-        return key.view(np.int64), n, sketches(h, n), [pack(h[at[i] : at[i + 1]]) for i in range(len(texts))]
+        return key.view(np.int64), n, parity_vectors(h, n, WORDS).view(np.int64), [pack(h[at[i] : at[i + 1]]) for i in range(len(texts))]
 
 
 def run_sets(df: DataFrame, key: str, text: str, width: int, side: int = 1) -> DataFrame:
@@ -129,10 +111,10 @@ def run_sets(df: DataFrame, key: str, text: str, width: int, side: int = 1) -> D
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 c = b.slice(i, 4096)
-                k, n, sk, sh = hasher(c.column(1).to_pylist())
+                k, n, v, sh = hasher(c.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(0), pa.array(np.full(len(n), side), pa.int32()), pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(sk[:, 0], pa.int64()), pa.array(sk[:, 1], pa.int64()), pa.array(sh, pa.binary())],
-                    ["row_id", "side", "k", "n", "s1", "s2", "sh"],
+                    [c.column(0), pa.array(np.full(len(n), side), pa.int32()), pa.array(k, pa.int64()), pa.array(n, pa.int32()), *[pa.array(x, pa.int64()) for x in v.T], pa.array(sh, pa.binary())],
+                    ["row_id", "side", "k", "n", *VECTOR, "sh"],
                 )
 
     return df.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(work, BASE)
@@ -217,7 +199,7 @@ def _keys_for(t: float):
 
 
 def early_runs(base: DataFrame, sketch, bits: int, t: float, hot: int, warm: bool, wanted: tuple | None = None) -> DataFrame:
-    """The early runs of every distinct set of a task, cold ones as (tok, k, side, n, pos, s1, s2), hot ones as (tok, k, side, owner). pos: place in the set's
+    """The early runs of every distinct set of a task, cold ones as (tok, k, side, n, pos, vector), hot ones as (tok, k, side, owner). pos: place in the set's
     order, owner: the least by hash of the set's hot runs. A run whose cell counts 1 stands in one text only and is left out,
     as is one of side 2 outside the bitmap of wanted runs and sizes."""
 
@@ -260,10 +242,10 @@ def early_runs(base: DataFrame, sketch, bits: int, t: float, hot: int, warm: boo
                     first[doc[o]] = h[o]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(first[doc], pa.int64())], ["tok", "k", "side", "owner"])
                 else:
-                    s1, s2 = (pa.array(c.column(i).to_numpy()[at_doc], pa.int64()) for i in (3, 4))
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(n[doc], pa.int32()), pa.array(pos, pa.int32()), s1, s2], ["tok", "k", "side", "n", "pos", "s1", "s2"])
+                    v = [pa.array(c.column(3 + i).to_numpy()[at_doc], pa.int64()) for i in range(WORDS)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(n[doc], pa.int32()), pa.array(pos, pa.int32()), *v], ["tok", "k", "side", "n", "pos", *VECTOR])
 
-    return base.select("k", "side", "sh", "s1", "s2").mapInArrow(work, "tok bigint, k bigint, side int, " + ("owner bigint" if warm else "n int, pos int, s1 bigint, s2 bigint"))
+    return base.select("k", "side", "sh", *VECTOR).mapInArrow(work, "tok bigint, k bigint, side int, " + ("owner bigint" if warm else f"n int, pos int, {BITS}"))
 
 
 # Depths in bits at which the walk widens: several binary levels are taken at once, with the same nodes and sums as one by one.
@@ -338,11 +320,11 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def paired_rows(at: np.ndarray, size: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray, v: np.ndarray, t: float, two_sided: bool) -> np.ndarray:
-    """A label for each row, -1 where no pair of its block (from `at`, of `size` rows each) passes the sketches' error budget and fits(); rows linked by passing
+    """A label for each row, -1 where no pair of its block (from `at`, of `size` rows each) passes the parity vectors' error budget and fits(); rows linked by passing
     pairs have one label."""
     good = np.zeros(len(n), bool)
     label = np.arange(len(n))
-    budget = sketch_budget(t)
+    c = (1 - t) / (1 + t)
     if not two_sided:
         part = np.cumsum(size.astype(np.int64) ** 2) // 2_000_000
         for x in np.unique(part).tolist():
@@ -350,7 +332,7 @@ def paired_rows(at: np.ndarray, size: np.ndarray, side: np.ndarray, n: np.ndarra
             rows = np.repeat(at_ - (np.cumsum(size_) - size_), size_) + np.arange(size_.sum())
             root = np.repeat(np.arange(len(at_)), size_)
             each = np.arange(len(at_))
-            a, b, _ = trie_self_join(v[rows], root, (each, each), n[rows], t, budget)
+            a, b, _ = trie_self_join(v[rows], root, (each, each), n[rows], t)
             a, b = rows[a], rows[b]
             ok = fits(a, b, n, pos, t)
             a, b = a[ok], b[ok]
@@ -367,7 +349,7 @@ def paired_rows(at: np.ndarray, size: np.ndarray, side: np.ndarray, n: np.ndarra
             a, b = a[ok], b[ok]
             ok = fits(a, b, n, pos, t)
             a, b = a[ok], b[ok]
-            ok = np.bitwise_count(v[a] ^ v[b]).sum(axis=1) <= budget
+            ok = np.bitwise_count(v[a] ^ v[b]).sum(axis=1) <= c * (n[a] + n[b]) + 1e-9
             a, b = a[ok], b[ok]
             good[a] = good[b] = True
             joined(label, a, b)
@@ -379,20 +361,20 @@ def cold_blocks(early: DataFrame, t: float, two_sided: bool) -> DataFrame:
     across sides only."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(i).to_numpy() for i in range(7)] for b in batches]
+        parts = [[b.column(i).to_numpy() for i in range(5 + WORDS)] for b in batches]
         if not parts:
             return
         cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
         del parts
         o = np.lexsort((cols[2], cols[1], cols[0]))
-        tok, k, side, n, pos, s1, s2 = (c[o] for c in cols)
+        tok, k, side, n, pos, *v = (c[o] for c in cols)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (k[1:] != k[:-1]) | (side[1:] != side[:-1])
-        tok, k, side, n, pos, s1, s2 = (c[new] for c in (tok, k, side, n, pos, s1, s2))
+        tok, k, side, n, pos, *v = (c[new] for c in (tok, k, side, n, pos, *v))
         at = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
         size = np.diff(np.concatenate((at, [len(tok)])))
-        label = paired_rows(at[size > 1], size[size > 1], side, n, pos, np.stack((s1, s2), axis=1).view(np.uint64), t, two_sided)
+        label = paired_rows(at[size > 1], size[size > 1], side, n, pos, np.stack(v, axis=1).view(np.uint64), t, two_sided)
         o = np.argsort(label, kind="stable")[np.count_nonzero(label < 0) :]
         label, k, side = label[o], k[o], side[o]
         at = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1], [True]))).tolist() if len(label) else []

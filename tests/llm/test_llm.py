@@ -127,6 +127,15 @@ def test_overlaps_match_brute_force(spark, monkeypatch, hot):
     assert overlap.split_overlaps({"e": frame([]) if ev is None else frame(ev).limit(0)}, frame(tr)).count() == 0
 
 
+def test_no_pair_is_lost_to_hashing(spark):
+    """Pairs of likeness 0.6 whose minimum hashes differ in far more bits than is usual."""
+    pairs = [[" ".join([f"w{s}x{i}" for i in range(14)] + [f"{x}{s}x{i}" for i in range(4)]) for x in "ab"] for s in (951, 1656, 15325)]
+    frame = lambda rows: spark.createDataFrame(rows, TEXT)
+    a, b = ([(2 * i + j, p[j]) for i, p in enumerate(pairs)] for j in (0, 1))
+    assert sorted(map(tuple, neardup.near_duplicate_groups(frame(a + b), width=3, t=0.6).collect())) == [(0, 0), (0, 1), (2, 2), (2, 3), (4, 4), (4, 5)]
+    assert sorted(map(tuple, overlap.split_overlaps({"e": frame(a)}, frame(b), width=3, t=0.6).collect())) == [("e", 0, 1), ("e", 2, 3), ("e", 4, 5)]
+
+
 def test_trie_join_finds_all_pairs_in_budget():
     r = np.random.default_rng(1)
     v = r.integers(0, 2**63, (60, 2), dtype=np.uint64)
