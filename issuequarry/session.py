@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHUFFLE_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}  # folders of local sessions that name none
 
 
@@ -45,15 +46,21 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.kept = 0, []
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and return the written table."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(SHUFFLE_FILES)
+        self.spark.conf.set(SHUFFLE_FILES, "true")  # what was shuffled for a table goes as soon as the table is written
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_FILES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.kept.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -62,3 +69,9 @@ class Scratch:
         for t in tables:
             p = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        """Delete what has been written so far except these tables, which the caller's result still reads."""
+        left = {t.scratch_path for t in tables}
+        self.drop(*[t for t in self.kept if t.scratch_path not in left])
+        self.kept = list(tables)
