@@ -18,18 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from issuequarry.llm.components import connected_components
-from issuequarry.llm.shingles import Batch, blocks, each_batch, parity_vectors, run_sets, trie_self_join
+from issuequarry.llm.shingles import Batch, blocks, bloom, copied_keys, each_batch, handed_out, numbered, only_in, run_sets
 from issuequarry.session import Scratch
 
-WORDS = 8
-def batch_pairs(b: Batch, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one block that the walk leaves."""
-    root = b.block * 2 + (b.part == 1)
-    has = np.unique(b.block[b.part != 2])
-    alone = np.unique(b.block[b.part == 2])
-    return trie_self_join(parity_vectors(b.h, b.n, WORDS), root, (np.concatenate((alone * 2, has * 2)), np.concatenate((alone * 2, has * 2 + 1))), b.n, t)
-
-
 class LinkFinder:
     """Verified links of the blocks of a task. A pair whose ends are already linked through others needs no link of its own."""
 
@@ -43,7 +34,7 @@ class LinkFinder:
         return x
 
     def __call__(self, b: Batch) -> list[np.ndarray]:
-        i, j, acc = batch_pairs(b, self.t)
+        i, j, acc = b.pairs(self.t, False)
         o = np.argsort(acc, kind="stable")
         out: list[tuple[int, int]] = []
         k = b.k
@@ -60,11 +51,18 @@ class LinkFinder:
 
 def near_duplicate_groups(df: DataFrame, key: str = "row_id", text: str = "text", width: int = 5, t: float = 0.8) -> DataFrame:
     """(group_id, row_id) of every row in a group of two or more; group_id is the smallest row id of the group."""
-    scratch = Scratch(df.sparkSession, "neardup")
-    base = scratch.keep(run_sets(df, key, text, width))
-    rows, _ = blocks(base, t, scratch)
-    links = each_batch(rows, lambda: LinkFinder(t), "a bigint, b bigint")
-    comp = connected_components(links, scratch)
-    of = base.select("row_id", "k").distinct().join(comp.withColumnRenamed("node", "k"), "k", "left").select("row_id", F.coalesce("component", "k").alias("g"))
+    spark = df.sparkSession
+    scratch = Scratch(spark, "neardup")
+    base = scratch.keep(numbered(run_sets(df, key, text, width)))
+    copied = scratch.keep(copied_keys(base))
+    rows, _ = blocks(base, copied, t, scratch)
+    comp = scratch.keep(connected_components(each_batch(rows, lambda: LinkFinder(t), "a bigint, b bigint"), scratch))
+    linked = only_in(base.select("id", "k"), *handed_out(spark, bloom(comp.select("node"))))
+    of_set = scratch.keep(comp.join(linked, F.col("node") == F.col("id")).select("k", "component"))
+    some = handed_out(spark, bloom(of_set.select("k").unionAll(copied.select("k"))))  # other rows stand alone
+    rows = only_in(base.select("k", "row_id"), *some).distinct().join(of_set, "k", "left")
+    of = scratch.keep(rows.select("row_id", F.when(F.col("component").isNull(), F.struct(F.lit(0).alias("x"), F.col("k").alias("y"))).otherwise(F.struct(F.lit(1).alias("x"), F.col("component").alias("y"))).alias("g")))
     groups = of.groupBy("g").agg(F.min("row_id").alias("group_id"), F.count("*").alias("m")).filter("m > 1").select("g", "group_id")
-    return of.join(groups, "g").select("group_id", "row_id")
+    out = of.join(groups, "g").select("group_id", "row_id")
+    scratch.drop_but(of)
+    return out

@@ -13,14 +13,13 @@ count. Empty tables give no rows. Extra columns are not read.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from issuequarry.llm.shingles import Batch, blocks, cell_of, each_batch, parity_vectors, run_sets
+from issuequarry.llm.shingles import Batch, blocks, cell_of, copied_keys, each_batch, looked_up, numbered, run_sets
 from issuequarry.session import Scratch
 
 EVAL, TRAIN = 1, 2
@@ -57,63 +56,42 @@ class PairFinder:
         t = self.t
         levels = np.frombuffer(self.sketch.value, np.uint8)
         doc = np.repeat(np.arange(len(b.n)), b.n)
-        string = b.h[np.lexsort((b.h, levels[cell_of(b.h, self.bits)], doc))]
-        i, j = self.across(b)
-        na, nb = b.n[i], b.n[j]
-        ok = (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9) & (b.k[i] != b.k[j])
-        i, j = i[ok], j[ok]
-        v = parity_vectors(b.h, b.n, 8)
+        string = b.h[np.lexsort((b.h, looked_up(levels, cell_of(b.h, self.bits), 4), doc))]
+        i, j, _ = b.pairs(t, True)
+        ev = b.side[i] == EVAL
+        i, j = np.where(ev, i, j), np.where(ev, j, i)
         most = np.floor((1 - t) / (1 + t) * (b.n[i] + b.n[j]) + 1e-9).astype(np.int64)
-        ok = np.ones(len(i), bool)
-        for s in range(0, len(i), 200_000):  # parity bits differ at most as often as the strings
-            x, y = i[s : s + 200_000], j[s : s + 200_000]
-            ok[s : s + 200_000] = np.bitwise_count(v[x] ^ v[y]).sum(axis=1) <= most[s : s + 200_000]
         out: list[tuple[int, int]] = []
         if len(self.seen) > 1_000_000:
             self.seen.clear()
-        for x, y, d in zip(i[ok].tolist(), j[ok].tolist(), most[ok].tolist(), strict=True):
+        for x, y, d in zip(i.tolist(), j.tolist(), most.tolist(), strict=True):
             pair = (int(b.k[x]), int(b.k[y]))
             if pair in self.seen:
                 continue
             self.seen.add(pair)
             c = banded_common(string[b.at[x] : b.at[x + 1]].tolist(), string[b.at[y] : b.at[y + 1]].tolist(), d)
-            if c >= 0 and c >= t * (b.n[x] + b.n[y] - c) - 1e-9:
+            if c >= 0 and c >= t * (b.n[x] + b.n[y] - c) - 1e-9 and not c == b.n[x] == b.n[y]:  # equal sets meet by key
                 out.append(pair)
         return [np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], np.int64)]
 
-    @staticmethod
-    def across(b: Batch) -> tuple[np.ndarray, np.ndarray]:
-        """Row pairs (evaluation, training) within each block, across its two parts where it has two."""
-        left, right = [], []
-        group = b.block * 6 + (b.part * 2) + (b.side - 1)
-        o = np.argsort(group, kind="stable")
-        g, at = np.unique(group[o], return_index=True)
-        where = dict(zip(g.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(o)], strict=True), strict=True))
-        for x, (lo, hi) in where.items():
-            blk, part, side = x // 6, x % 6 // 2, x % 2
-            if side == 0:
-                other = where.get(blk * 6 + (2 if part == 2 else 1 - part) * 2 + 1)
-                if other:
-                    left.append(np.repeat(o[lo:hi], other[1] - other[0]))
-                    right.append(np.tile(o[other[0] : other[1]], hi - lo))
-        none = np.zeros(0, np.int64)
-        return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
 
 def split_overlaps(evals: dict[str, DataFrame], train: DataFrame, key: str = "row_id", text: str = "text", width: int = 5, t: float = 0.8) -> DataFrame:
     """(split_name, eval_row_id, train_row_id) of all pairs of likeness t or more."""
     scratch = Scratch(train.sparkSession, "overlap")
     names = sorted(evals)
     sides = [run_sets(evals[s], key, text, width, EVAL).withColumn("split", F.lit(i)) for i, s in enumerate(names)]
-    base = scratch.keep(reduce(DataFrame.unionAll, [*sides, run_sets(train, key, text, width, TRAIN).withColumn("split", F.lit(-1))]))
-    rows, sketch = blocks(base, t, scratch, two_sided=True)
-    bits = int(math.log2(len(sketch.value)))
-    links = each_batch(rows, lambda: PairFinder(t, sketch, bits), "ek bigint, tk bigint").distinct()
-    ev = base.filter(F.col("side") == EVAL).select(F.col("split"), F.col("row_id").alias("eval_row_id"), F.col("k").alias("ek"))
-    tr = base.filter(F.col("side") == TRAIN).select(F.col("row_id").alias("train_row_id"), F.col("k").alias("tk"))
+    base = scratch.keep(numbered(reduce(DataFrame.unionAll, [*sides, run_sets(train, key, text, width, TRAIN).withColumn("split", F.lit(-1))])))
+    rows, sketch = blocks(base, copied_keys(base), t, scratch, two_sided=True)
+    links = scratch.keep(each_batch(rows, lambda: PairFinder(t, *sketch), "e bigint, t bigint").distinct())
+    keys = scratch.keep(base.select("side", "split", "row_id", "id", "k"))
+    linked = keys.select(F.col("id"), "k").join(links.select(F.col("e").alias("id")).unionAll(links.select("t")).distinct(), "id", "left_semi")
+    by_key = links.join(linked.select(F.col("id").alias("e"), F.col("k").alias("ek")), "e").join(linked.select(F.col("id").alias("t"), F.col("k").alias("tk")), "t").select("ek", "tk")
+    ev = keys.filter(F.col("side") == EVAL).select(F.col("split"), F.col("row_id").alias("eval_row_id"), F.col("k").alias("ek"))
+    tr = keys.filter(F.col("side") == TRAIN).select(F.col("row_id").alias("train_row_id"), F.col("k").alias("tk"))
     same = ev.join(tr, F.col("ek") == F.col("tk")).select("split", "eval_row_id", "train_row_id")
-    near = ev.join(links, "ek").join(tr, "tk").select("split", "eval_row_id", "train_row_id")
+    near = ev.join(by_key, "ek").join(tr, "tk").select("split", "eval_row_id", "train_row_id")
     name = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("split") + 1)
+    scratch.drop_but(keys, links)
     return same.unionAll(near).select(name.alias("split_name"), "eval_row_id", "train_row_id")
 
 
