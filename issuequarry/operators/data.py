@@ -33,6 +33,11 @@ def keep_first(df: DataFrame, by: str = "text_hash", ordinal: str = "row_id") ->
     return df.join(first, F.col("__first") == F.col(ordinal), "left_semi")
 
 
+def first_rows(df: DataFrame, carry: list[str], by: str = "text_hash", ordinal: str = "row_id") -> DataFrame:
+    """(by, ordinal, the carried columns) of the first row of each value: one grouping and no join, for columns that are short."""
+    return df.groupBy(by).agg(F.min(F.struct(ordinal, *carry)).alias("__x")).select(by, "__x.*")
+
+
 def overlap(left: DataFrame, right: DataFrame, by: str = "text_hash") -> DataFrame:
     """Rows of right whose value is in left."""
     return right.join(left.select(by).distinct(), by, "left_semi").select(*right.columns)
@@ -48,6 +53,21 @@ def shared_ids(df: DataFrame, key: str = "issue_id") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("affected"))
 
 
+def checked_unique(df: DataFrame, key: str = "issue_id") -> DataFrame:
+    """df, or an error that names five ids which still repeat."""
+    bad = [r[0] for r in df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").orderBy(key).limit(5).select(key).collect()]
+    if bad:
+        raise ValueError(f"ids that repeat: {bad}")
+    return df
+
+
+def checked_apart(train: DataFrame, test: DataFrame, by: str = "text_hash") -> DataFrame:
+    """train, or an error if it shares a value with test."""
+    if not overlap(test, train, by).isEmpty():
+        raise RuntimeError(f"train and test share values of {by}")
+    return train
+
+
 def unique_ids(df: DataFrame, key: str = "issue_id", digest: str = "text_hash") -> DataFrame:
     """If any id repeats, every id becomes id:hash16 and the old one source_issue_id; else source_issue_id is null."""
     flag = df.groupBy(key).agg(F.count("*").alias("n")).agg((F.max("n") > 1).alias("__any"))
@@ -65,14 +85,30 @@ def misclassified(df: DataFrame, truth: str, prediction: str = "prediction") ->
     return df.filter(F.coalesce(F.col(truth) != F.col(prediction), F.lit(True)))
 
 
+def need(df: DataFrame, *columns: str) -> None:
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+
+
 def stage2_rows(df: DataFrame, label: str = "canonical_label") -> DataFrame:
+    """Bugs of a known class, the two classes of stage 3 folded into one."""
+    need(df, label, "text", "project")
     return df.filter(F.col(label).isin(*T.STAGE2, *T.STAGE3)).withColumn(label, T.fold_stage2(F.col(label)))
 
 
 def stage3_rows(df: DataFrame, label: str = "canonical_label") -> DataFrame:
+    need(df, label, "text", "project")
     return df.filter(F.col(label).isin(*T.STAGE3))
 
 
+def not_empty(df: DataFrame, what: str) -> DataFrame:
+    """df, or an error if it has no row (one small job)."""
+    if df.isEmpty():
+        raise ValueError(f"no rows: {what}")
+    return df
+
+
 def union_outer(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -113,15 +149,49 @@ def inspect(df: DataFrame, label: str = "canonical_label", text: str = "text") -
     return df.groupBy(label).agg(F.count("*").alias("rows"), F.count_if(T.is_blank(F.col(text))).alias("blank_texts"))
 
 
+def inspected(df: DataFrame, name: str, label: str = "canonical_label", text: str = "text") -> dict[str, int]:
+    """Sorted class counts (a row a label on the driver) of a table that a model is to read; an empty one, a blank text or label is refused."""
+    if not name.strip():
+        raise ValueError("a table needs a name")
+    need(df, label, text)
+    rows = inspect(df, label, text).collect()
+    if not rows:
+        raise ValueError(f"{name} is empty")
+    if any(r.blank_texts for r in rows):
+        raise ValueError(f"{name} has {sum(r.blank_texts for r in rows)} blank texts")
+    if any(r[label] is None or not r[label].strip() for r in rows):
+        raise ValueError(f"{name} has rows without a label")
+    return {r[label]: r.rows for r in sorted(rows, key=lambda r: r[label])}
+
+
 def label_domain_gap(validation: DataFrame, train: DataFrame, label: str = "canonical_label") -> DataFrame:
     """Labels of validation that train lacks."""
     return validation.select(label).filter(F.col(label).isNotNull()).distinct().join(train.select(label).distinct(), label, "left_anti")
 
 
 def statistics(df: DataFrame, label: str = "canonical_label", repository: str = "repository", digest: str = "text_hash") -> DataFrame:
-    """One row: rows, labelled rows, distinct repositories, duplicate hashes (null is a value)."""
-    distinct = F.count_distinct(digest) + F.coalesce(F.max(F.col(digest).isNull().cast("int")), F.lit(0))
-    return df.agg(F.count("*").alias("rows"), F.count(label).alias("labelled"), F.count_distinct(repository).alias("repositories"), (F.count("*") - distinct).alias("duplicate_hashes"))
+    """One row: rows, labelled rows, distinct repositories, duplicate hashes (null is a value). One grouping a column, each with partial aggregation; no row is expanded."""
+    one = df.agg(F.count("*").alias("rows"), F.count(label).alias("labelled"))
+    names = df.filter(F.col(repository).isNotNull()).groupBy(repository).agg(F.lit(1)).agg(F.count("*").alias("repositories"))
+    hashes = df.groupBy(digest).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_hashes"))
+    return one.crossJoin(names).crossJoin(hashes)  # one row each
+
+
+def sorted_class_counts(df: DataFrame, label: str = "canonical_label") -> DataFrame:
+    """Class counts in the order of their labels."""
+    return class_counts(df, label).orderBy(label)
+
+
+def first_seen_codes(df: DataFrame, label: str = "canonical_label", ordinal: str = "row_id") -> DataFrame:
+    """(label, code): labels numbered from 0 in the order in which they first stand in the table."""
+    first = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(ordinal).alias("__first"))
+    return first.select(label, (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("__first")) - 1).alias("code"))  # a row a label
+
+
+def sorted_codes(df: DataFrame, label: str = "canonical_label") -> DataFrame:
+    """(label, code): labels numbered from 0 in their order."""
+    names = df.filter(F.col(label).isNotNull()).select(label).distinct()
+    return names.select(label, (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(label)) - 1).alias("code"))
 
 
 def class_counts(df: DataFrame, label: str = "canonical_label") -> DataFrame:

@@ -1,40 +1,52 @@
-"""Bounded TF-IDF in long form: (key, term, weight), L2-normed by row.
+"""Bounded TF-IDF in long form: (key, block, term, weight), L2-normed by row and block.
 
-weight = (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1); terms with df in [min_df, max_df * N], of these the max_features most frequent (ties by term). Texts are shuffled by key, which is
-less than their terms; terms are then counted, weighted and normed in place, and the vocabulary is bounded by max_features, so it may be broadcast.
+weight = tf' * (ln((1 + N) / (1 + df)) + 1), with tf' = 1 + ln tf, or tf itself without sublinear_tf; terms with df in [min_df, max_df] (a whole number is a count, a
+fraction a share of N), of these the max_features most frequent (ties by term). Texts are shuffled by key, which is less than their terms; terms are then counted, weighted and
+normed in place. The vocabulary is written once; it is broadcast only where Spark finds it under its own threshold, else joined by term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, fields
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from issuequarry.functions.text import SPACE
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
 @dataclass(frozen=True)
 class TfidfConfig:
-    mode: str = "word_char"
-    word_max_features: int = 200_000
+    """Settings by their names in model files. Keys of other parts of a file are left to those; as_dict gives every setting."""
+
+    feature_mode: str = "word_char"
     word_ngram_range: tuple[int, int] = (1, 2)
-    word_min_df: int = 3
-    char_max_features: int = 150_000
+    word_max_features: int = 200_000
+    word_min_df: int | float = 3
+    word_max_df: int | float = 0.98
     char_ngram_range: tuple[int, int] = (3, 5)
-    char_min_df: int = 5
-    max_df: float = 0.98
+    char_max_features: int = 150_000
+    char_min_df: int | float = 5
+    char_max_df: int | float = 0.98
+    sublinear_tf: bool = True
 
     def __post_init__(self) -> None:
-        if self.mode not in ("word", "word_char"):
-            raise ValueError("mode must be word or word_char")
-        if self.word_max_features <= 0 or self.char_max_features <= 0:
+        if self.feature_mode not in ("word", "word_char"):
+            raise ValueError("feature_mode must be word or word_char")
+        if min(self.word_max_features, self.char_max_features) <= 0:
             raise ValueError("max_features must be positive")
+        for low, high in (self.word_ngram_range, self.char_ngram_range):
+            if not 1 <= low <= high:
+                raise ValueError("an n-gram range needs 1 <= low <= high")
 
     @classmethod
-    def from_mapping(cls, values: dict) -> TfidfConfig:
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known})
+    def from_mapping(cls, values: Mapping[str, Any] | None) -> TfidfConfig:
+        own = {f.name for f in fields(cls)}
+        return cls(**{k: tuple(v) if k.endswith("_range") else v for k, v in (values or {}).items() if k in own})
 
     def as_dict(self) -> dict:
         return asdict(self)
@@ -57,38 +69,55 @@ def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
 
 
 def char_counts(df: DataFrame, key: str, text: str, low: int = 3, high: int = 5) -> DataFrame:
-    """n-grams inside words with a space at either end; they are cut once for each distinct word of a row."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda x: x != "")
+    """n-grams inside words with a space at either end; they are cut once for each distinct word of a row. A word shorter than n is one n-gram as it is, once."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), f"{SPACE}+"), lambda x: x != "")
     w = df.repartition(key).select(key, F.explode(words).alias("w")).groupBy(key, "w").agg(F.count("*").alias("m")).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
     lens = F.array(*[F.lit(n) for n in range(low, high + 1)])
-    cut = w.select(key, "m", "w", F.explode(lens).alias("n")).filter("n <= length(w)").select(key, "m", F.explode(F.expr("transform(sequence(1, length(w) - n + 1), i -> substring(w, i, n))")).alias("term"))
-    return cut.groupBy(key, "term").agg(F.sum("m").alias("tf"))
+    cut = w.select(key, "m", "w", F.explode(lens).alias("n")).filter(f"n = {low} OR n <= length(w)")
+    grams = cut.select(key, "m", F.explode(F.expr("transform(sequence(1, greatest(length(w) - n, 0) + 1), i -> substring(w, i, n))")).alias("term"))
+    return grams.groupBy(key, "term").agg(F.sum("m").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, rows: int, min_df: int, max_df: float, max_features: int) -> DataFrame:
+def vocabulary(counts: DataFrame, rows: int, min_df: int | float, max_df: int | float, max_features: int) -> DataFrame:
     """(term, df, tf) of the kept terms."""
+    bound = lambda x: x * rows if isinstance(x, float) else x
     v = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    return v.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * rows)).orderBy(F.desc("tf"), "term").limit(max_features)
+    return v.filter((F.col("df") >= bound(min_df)) & (F.col("df") <= bound(max_df))).orderBy(F.desc("tf"), "term").limit(max_features)
 
 
-def weights(counts: DataFrame, vocab: DataFrame, rows: int, key: str) -> DataFrame:
+def weights(counts: DataFrame, vocab: DataFrame, rows: int, key: str, sublinear: bool = True) -> DataFrame:
     idf = F.log(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1
-    x = counts.join(F.broadcast(vocab.select("term", idf.alias("idf"))), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
+    x = counts.join(vocab.select("term", idf.alias("idf")), "term").select(key, "term", (tf * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return x.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
+def block_counts(df: DataFrame, key: str, text: str, config: TfidfConfig) -> dict[str, DataFrame]:
+    """Term counts of each block of features."""
+    out = {"word": term_counts(df, key, word_terms(F.col(text), *config.word_ngram_range))}
+    if config.feature_mode == "word_char":
+        out["char"] = char_counts(df, key, text, *config.char_ngram_range)
+    return out
+
+
+def block_vocabulary(counts: DataFrame, rows: int, block: str, config: TfidfConfig) -> DataFrame:
+    c = config.as_dict()
+    return vocabulary(counts, rows, *[c[f"{block}_{x}"] for x in ("min_df", "max_df", "max_features")])
+
+
 def tfidf(df: DataFrame, key: str, text: str, config: TfidfConfig) -> DataFrame:
-    """(key, block, term, weight) of the word block and, in mode word_char, the character block."""
-    rows = df.count()
-    c = term_counts(df, key, word_terms(F.col(text), *config.word_ngram_range))
-    out = weights(c, vocabulary(c, rows, config.word_min_df, config.max_df, config.word_max_features), rows, key).select(key, F.lit("word").alias("block"), "term", "weight")
-    if config.mode == "word_char":
-        c = char_counts(df, key, text, *config.char_ngram_range)
-        out = out.unionAll(weights(c, vocabulary(c, rows, config.char_min_df, config.max_df, config.char_max_features), rows, key).select(key, F.lit("char").alias("block"), "term", "weight"))
+    """(key, block, term, weight) of the word block and, in mode word_char, the character block. Counts the rows of df (one job)."""
+    rows, out = df.count(), None
+    for block, c in block_counts(df, key, text, config).items():
+        w = weights(c, block_vocabulary(c, rows, block, config), rows, key, config.sublinear_tf).select(key, F.lit(block).alias("block"), "term", "weight")
+        out = w if out is None else out.unionAll(w)
     return out
 
 
 def matrix_bytes(weighted: DataFrame, key: str) -> DataFrame:
-    """(rows, nnz, bytes) of the compressed sparse row matrix in float32 with int32 indices."""
-    return weighted.agg(F.count_distinct(key).alias("rows"), F.count("*").alias("nnz")).select("rows", "nnz", (F.col("nnz") * 8 + (F.col("rows") + 1) * 4).alias("bytes"))
+    """(rows, nnz, bytes) of the compressed sparse row matrix in float32 with int32 indices. A table that isn't in long form (a row a weight) is refused."""
+    if "weight" not in weighted.columns or dict(weighted.dtypes)["weight"] not in ("double", "float"):
+        raise TypeError("a sparse table of weights is needed, not a dense one")
+    per = weighted.groupBy(key).agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("nnz")).select("rows", "nnz", (F.col("nnz") * 8 + (F.col("rows") + 1) * 4).alias("bytes"))

@@ -1,19 +1,25 @@
-"""Linear text classifier on bounded features, batched scoring of any model, and the label hierarchy."""
+"""Linear text classifier on TF-IDF vectors, batched scoring of any model, and the label hierarchy."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from pathlib import Path
-from typing import Protocol
+from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml import Transformer
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from issuequarry.functions import text as T
 from issuequarry.operators import data as D
 from issuequarry.operators import metrics as M
 from issuequarry.operators import tfidf as X
+from issuequarry.session import Scratch
 from issuequarry.sources.tables import write_json
 
 
@@ -36,43 +42,154 @@ def predict_in_batches(df: DataFrame, make: Callable[[], TextPredictor], text: s
                 labels += list(model.predict(f[text].iloc[i : i + batch].tolist()))
             yield f.assign(**{out: labels})
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
     return df.mapInPandas(work, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
-def fit_linear(df: DataFrame, text: str = "text", label: str = "canonical_label", features: int = 1 << 18, min_df: int = 3, iterations: int = 100, balanced: bool = True):
-    """One linear support vector machine a class on hashed word and word-pair counts with sublinear tf and idf. Sizes of the model depend on features x classes only."""
-    from pyspark.ml import Pipeline
+def resolved_config(values: Mapping[str, Any] | None = None) -> dict[str, Any]:
+    """Every setting of a TF-IDF run as it will be used, and the counters of the run that `values` has."""
+    v = dict(values or {})
+    out = X.TfidfConfig.from_mapping(v).as_dict()
+    out |= {"class_weight": v.get("class_weight", "balanced"), "classifier_max_iter": int(v.get("classifier_max_iter", 5000)), "seed": int(v.get("seed", 42))}
+    return out | {k: v[k] for k in ("max_train_samples", "source_training_rows", "training_rows", "training_class_counts") if k in v}
+
+
+def require_model_text(df: DataFrame, text: str = "text") -> DataFrame:
+    """df, or an error if the column is missing or has a null or blank text (one aggregate)."""
+    D.need(df, text)
+    bad = df.filter(T.is_blank(F.col(text))).limit(1).count()
+    if bad:
+        raise ValueError(f"{text} has missing or blank values")
+    return df
+
+
+@dataclass
+class LinearTextModel:
+    """Vocabulary (block, term, idf, idx; at most as many rows as the settings allow), linear machines one versus rest, and the labels by code."""
+
+    config: dict[str, Any]
+    labels: list[str]
+    vocabulary: DataFrame
+    svm: Any
+
+    def vectors(self, df: DataFrame, text: str, scratch: Scratch) -> DataFrame:
+        return _vectors(df, text, X.TfidfConfig.from_mapping(self.config), self.vocabulary, scratch)
+
+    def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """df with prediction. Texts without a known term get the zero vector."""
+        scratch = Scratch(df.sparkSession, "predict")
+        d = scratch.keep(df.withColumn("__key", F.monotonically_increasing_id()))
+        names = F.array(*[F.lit(x) for x in self.labels])
+        scored = self.svm.transform(self.vectors(d, text, scratch)).select("__key", F.element_at(names, F.col("__code").cast("int") + 1).alias("prediction"))
+        return d.join(scored, "__key").select(*df.columns, "prediction")
+
+    def save(self, path: str) -> None:
+        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        self.svm.write().overwrite().save(f"{path}/classifier")
+        self.vocabulary.sparkSession.createDataFrame([(json.dumps({"config": self.config, "labels": self.labels}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LinearTextModel:
+        from pyspark.errors import AnalysisException
+        from pyspark.ml.classification import OneVsRestModel
+
+        try:
+            v = json.loads(spark.read.text(f"{path}/settings").first().value)
+        except AnalysisException:
+            raise FileNotFoundError(path) from None
+        return cls(v["config"], v["labels"], spark.read.parquet(f"{path}/vocabulary"), OneVsRestModel.load(f"{path}/classifier"))
+
+
+def _vectors(df: DataFrame, text: str, config: X.TfidfConfig, vocab: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__key, features): sparse vectors of the rows of df by __key. They are built as arrays in the JVM, written, and read as vectors, whose stored layout is the same."""
+    from pyspark.ml.linalg import VectorUDT
+
+    size, parts = vocab.count(), None
+    for block, c in X.block_counts(df, "__key", text, config).items():
+        x = c.join(vocab.filter(F.col("block") == block).select("term", "idf", "idx"), "term")
+        tf = 1 + F.log("tf") if config.sublinear_tf else F.col("tf").cast("double")
+        x = x.select("__key", "idx", (tf * F.col("idf")).alias("w"))
+        x = x.select("__key", "idx", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("__key")))).alias("w"))
+        parts = x if parts is None else parts.unionAll(x)
+    each = parts.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("x"))  # the terms of one text
+    arrays = df.select("__key").join(each, "__key", "left").select(
+        "__key", F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.coalesce(F.col("x.idx"), F.array().cast("array<int>")).alias("indices"), F.coalesce(F.col("x.w"), F.array().cast("array<double>")).alias("values")).alias("features")
+    )
+    path = scratch.keep(arrays).scratch_path
+    return df.sparkSession.read.schema(StructType([df.select("__key").schema[0], StructField("features", VectorUDT())])).parquet(path)
+
+
+def fit_linear(df: DataFrame, text: str = "text", label: str = "canonical_label", values: Mapping[str, Any] | None = None) -> LinearTextModel:
+    """TF-IDF features of the settings, and one linear support vector machine a class with hinge loss, the penalty of C = 1 and class weights. Rows without a label take no part; a blank text is refused.
+
+    The size of a model depends on features x classes only; the vocabulary is counted over all rows.
+    """
     from pyspark.ml.classification import LinearSVC, OneVsRest
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
-
-    d = term_column(df, text)
-    weight = D.class_weights(df, label) if balanced else D.class_counts(df, label).select(label, F.lit(1.0).alias("weight"))
-    d = d.join(F.broadcast(weight), label)  # a row a class
-    svm = OneVsRest(classifier=LinearSVC(maxIter=iterations), labelCol="label", featuresCol="features", weightCol="weight")
-    steps = [StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc"), HashingTF(inputCol="__terms", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="raw", minDocFreq=min_df), Normalizer(inputCol="raw", outputCol="features"), svm]
-    return Pipeline(stages=steps).fit(d)
-
-
-def term_column(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("__terms", X.word_terms(F.col(text)))
-
 
-def predict_linear(model, df: DataFrame, text: str = "text") -> DataFrame:
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import IndexToString
-
-    labels = model.stages[0].labels
-    scored = PipelineModel(stages=model.stages[1:]).transform(term_column(df, text))
-    return IndexToString(inputCol="prediction", outputCol="__label", labels=labels).transform(scored).select(*df.columns, F.col("__label").alias("prediction"))
+    c = resolved_config(values)
+    config = X.TfidfConfig.from_mapping(c)
+    D.need(df, text, label)
+    scratch = Scratch(df.sparkSession, "tfidf-fit")
+    d = scratch.keep(require_model_text(df, text).filter(F.col(label).isNotNull()).select(F.monotonically_increasing_id().alias("__key"), F.col(text).alias("text"), F.col(label).alias("label")))
+    rows = d.count()
+    if not rows:
+        raise ValueError("no labelled rows")
+    vocab, kept = None, 0
+    for block, n in X.block_counts(d, "__key", "text", config).items():
+        v = X.block_vocabulary(n, rows, block, config).select(F.lit(block).alias("block"), "term", (F.log(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1).alias("idf"))
+        v = scratch.keep(v.withColumn("idx", (F.row_number().over(Window.partitionBy("block").orderBy("term")) - 1 + kept).cast("int")))  # at most max_features rows
+        kept += v.count()
+        vocab = v if vocab is None else vocab.unionAll(v)
+    codes = D.sorted_codes(d, "label")
+    weight = D.class_weights(d, "label") if c["class_weight"] == "balanced" else D.class_counts(d, "label").select("label", F.lit(1.0).alias("weight"))
+    x = _vectors(d, "text", config, vocab, scratch)
+    known = d.select("__key", "label").join(codes, "label").join(weight, "label").select("__key", F.col("code").cast("double").alias("label"), "weight")
+    train = scratch.keep(x.join(known, "__key").select("features", "label", "weight"))
+    machine = LinearSVC(maxIter=c["classifier_max_iter"], regParam=1.0 / rows, standardization=False, tol=1e-4)
+    svm = OneVsRest(classifier=machine, labelCol="label", featuresCol="features", weightCol="weight", predictionCol="__code", parallelism=4).fit(train)
+    return LinearTextModel(c, [r.label for r in codes.orderBy("code").collect()], vocab, svm)
+
+
+def predict_linear(model: LinearTextModel, df: DataFrame, text: str = "text") -> DataFrame:
+    return model.predict(df, text)
+
+
+def audited(weighted: DataFrame, name: str = "matrix") -> tuple[DataFrame, Observation]:
+    """A long table of weights as it is, and an observation that gets its entries and bytes (without row pointers) once it has been computed; no further pass is made."""
+    seen = Observation(name)
+    n = F.count(F.lit(1))
+    return weighted.observe(seen, n.alias("nnz"), (n * 8).alias("bytes"), F.max("weight").alias("greatest")), seen
+
+
+class MatrixAudit(Transformer):
+    """A pipeline stage that hands a long table of weights on as it is and observes its entries and bytes while it is computed."""
+
+    def __init__(self, name: str = "matrix"):
+        super().__init__()
+        self.name, self.seen = name, None
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out, self.seen = audited(dataset, self.name)
+        return out
+
+    def figures(self) -> dict[str, Any]:
+        """What was seen, once the transformed table has been computed."""
+        return dict(self.seen.get) if self.seen else {}
+
+
+def evaluate(scored: DataFrame, truth: str, output: str | None = None, drop: tuple[str, ...] = ()) -> dict[str, Any]:
+    """Metrics of a scored table; below `output` also metrics.json and predictions.parquet (without the columns to drop)."""
+    values = M.classification_metrics(scored, truth, "prediction")
+    if output:
+        scored.drop(*drop).write.mode("overwrite").parquet(f"{output}/predictions.parquet")
+        write_json(Path(output) / "metrics.json", values)
+    return values
 
 
-def evaluate(scored: DataFrame, truth: str, output: str | None = None) -> dict[str, float]:
-    values = {r.metric: r.value for r in M.summary(M.confusion(scored, truth, "prediction")).collect()}
+def evaluate_hierarchy(scored: DataFrame, output: str | None = None) -> dict[str, Any]:
+    """Metrics of final_label against prediction; below `output` also hierarchy_metrics.json."""
+    values = M.classification_metrics(scored, "final_label", "prediction")
     if output:
-        scored.write.mode("overwrite").parquet(str(Path(output) / "predictions.parquet"))
-        write_json(Path(output) / "metrics.json", values)
+        write_json(Path(output) / "hierarchy_metrics.json", values)
     return values
 
 

@@ -12,6 +12,8 @@ from issuequarry.operators import data as D
 from issuequarry.operators import metrics as M
 from issuequarry.operators import sampling as S
 from issuequarry.operators import tfidf as X
+from issuequarry.operators import tokens as K
+from issuequarry.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -150,6 +152,16 @@ def tok22_crc_tokens(spark, d):
     return t(spark, d, "train_clean").select("row_id", T.crc_tokens(F.col("text"), 256).alias("input_ids"))
 
 
+@query(f"""WITH z AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS z),
+    w AS (SELECT row_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_CLASS}+'), lambda x: x <> '')[1:254] AS w FROM train_clean), p AS (SELECT row_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+    h AS (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT x FROM p)), b AS (SELECT x, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM h),
+    k AS (SELECT x, 3 + xor(list_reduce(list_prepend(4294967295, b), lambda c, v: xor(c >> 8, z[(xor(c, v) & 255) + 1])), 4294967295) % 30000 AS k FROM b, z), j AS (SELECT row_id, string_agg(k, ' ' ORDER BY i) AS t FROM p JOIN k USING (x) GROUP BY 1)
+    SELECT row_id, '1 ' || coalesce(t || ' ', '') || '2' AS ids FROM train_clean LEFT JOIN j USING (row_id)""")
+def tok22_token_text(spark, d):
+    """The token ids as text."""
+    return t(spark, d, "train_clean").select("row_id", F.array_join(T.crc_tokens(F.col("text"), 256).cast("array<string>"), " ").alias("ids"))
+
+
 @query(f"SELECT row_id, 2 + least(254, len(list_filter(regexp_split_to_array(text, '{_CLASS}+'), lambda x: x <> ''))) AS tokens FROM train_clean")
 def tok21_token_lengths(spark, d):
     return t(spark, d, "train_clean").select("row_id", F.size(T.crc_tokens(F.col("text"), 256)).cast("bigint").alias("tokens"))
@@ -225,7 +237,7 @@ def v07_label_domain(spark, d):
 
 @query(f"SELECT row_id, h AS text_hash FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY row_id) AS r FROM {_issues('train_clean')}) WHERE r = 1")
 def w01_dedup_keep_first(spark, d):
-    return D.keep_first(issues(spark, d, "train_clean")).select("row_id", "text_hash")
+    return D.first_rows(issues(spark, d, "train_clean"), []).select("row_id", "text_hash")
 
 
 @query("""SELECT row_id, CASE WHEN a THEN issue_id || ':' || substr(text_hash, 1, 16) ELSE issue_id END AS issue_id, CASE WHEN a THEN issue_id END AS source_issue_id
@@ -263,7 +275,7 @@ def o04_except(spark, d):
     SELECT repository, count(*) AS rows, min(h) AS least_hash FROM tr WHERE r = 1 AND h NOT IN (SELECT h FROM te) GROUP BY 1""")
 def leakage_free_train(spark, d):
     """Deduplicated training rows that aren't in the official test, per repository."""
-    clean = D.without_overlap(D.keep_first(issues(spark, d, "train_clean")), issues(spark, d, "test"))
+    clean = D.without_overlap(D.first_rows(issues(spark, d, "train_clean"), ["repository"]), issues(spark, d, "test"))
     return clean.groupBy("repository").agg(F.count("*").alias("rows"), F.min("text_hash").alias("least_hash"))
 
 
@@ -315,6 +327,19 @@ _SUM = """SELECT metric, round(value, 9) AS value FROM (SELECT sum(hit) / sum(su
     UNPIVOT (value FOR metric IN (accuracy, macro_f1, micro_f1, weighted_f1, balanced_accuracy, mcc))"""
 
 
+@query(f"""WITH {_CONF} SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support::BIGINT AS support FROM q
+    UNION ALL SELECT 'accuracy', round(sum(hit) / sum(support), 9), round(sum(hit) / sum(support), 9), round(sum(hit) / sum(support), 9), sum(support)::BIGINT FROM q
+    UNION ALL SELECT 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(support)::BIGINT FROM q
+    UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9), sum(support)::BIGINT FROM q""")
+def a12_report(spark, d):
+    return M.report(_confusion(spark, d)).select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query(f"WITH {_CONF} SELECT * FROM ({_SUM}) WHERE metric IN ('macro_f1', 'micro_f1', 'weighted_f1', 'mcc')")
+def a15_training_metrics(spark, d):
+    return M.training_metrics(_confusion(spark, d)).select("metric", F.round("value", 9).alias("value"))
+
+
 @query(f"WITH {_CONF} {_SUM}")
 def a13_metrics(spark, d):
     return M.summary(_confusion(spark, d)).select("metric", F.round("value", 9).alias("value"))
@@ -333,6 +358,10 @@ def _labelled(spark, d):
     return t(spark, d, "train_clean").select("row_id", F.upper(F.trim("canonical_label")).alias("canonical_label"), F.lower(F.trim("repository")).alias("repository"))
 
 
+def _with_label(spark, d):
+    return _labelled(spark, d).filter("canonical_label IS NOT NULL")
+
+
 _LAB = "(SELECT row_id, upper(trim(canonical_label)) AS c, md5('42:' || row_id) AS h FROM train_clean WHERE canonical_label IS NOT NULL)"
 
 
@@ -344,12 +373,12 @@ def _stratified(size: str, out: str) -> str:
 
 @query(_stratified("500", "c AS canonical_label") + " WHERE r <= f + (k <= rest)::INT")
 def x05_stratified_limit(spark, d):
-    return S.stratified_limit(_labelled(spark, d), 500).select("row_id", "canonical_label")
+    return S.stratified_limit(_with_label(spark, d), 500).select("row_id", "canonical_label")
 
 
 @query(_stratified("ceil(max(t) * 0.15)", "CASE WHEN r <= f + (k <= rest)::INT THEN 'validation' ELSE 'train' END AS split"))
 def x02_stratified_split(spark, d):
-    return S.stratified_split(_labelled(spark, d), 0.15).select("row_id", "split")
+    return S.stratified_split(_with_label(spark, d), 0.15).select("row_id", "split")
 
 
 @query(f"""WITH x AS (SELECT * FROM {_LAB}), r AS (SELECT row_id, c, row_number() OVER (PARTITION BY c ORDER BY h, row_id) AS r FROM x)
@@ -369,11 +398,126 @@ def x09_holdout(spark, d):
     return S.holdout(t(spark, d, "train_clean").select("row_id"), 0.1)
 
 
-@query()
+_FOLDS = """g AS (SELECT lower(trim(project)) AS g, count(*) AS n FROM mandelbugs WHERE project IS NOT NULL GROUP BY 1), o AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, md5(g), g) AS i FROM g),
+    f AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::VARCHAR AS project, NULL::BIGINT AS n, 0::BIGINT AS fold
+    UNION ALL SELECT o.i, list_transform(range(1, 6), lambda j: loads[j] + CASE WHEN j = list_position(loads, list_min(loads)) THEN o.n ELSE 0 END), o.g, o.n, list_position(loads, list_min(loads)) - 1 FROM f JOIN o ON o.i = f.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {_FOLDS} SELECT project, fold::INT AS fold, n FROM f WHERE i > 0")
 def x08_group_kfold(spark, d):
     return S.group_folds(t(spark, d, "mandelbugs").select(F.lower(F.trim("project")).alias("project")))
 
 
+@query(_stratified("700", "c AS canonical_label") + " WHERE r <= f + (k <= rest)::INT")
+def x06_persisted_limit(spark, d):
+    """The selection is written once and read back."""
+    return S.persisted_limit(_with_label(spark, d), 700, f"{shared_dir(spark)}/selections", "train").select("row_id", "canonical_label")
+
+
+@query(f"WITH RECURSIVE {_FOLDS} SELECT row_id, fold::INT AS fold FROM mandelbugs JOIN f ON f.project = lower(trim(mandelbugs.project)) WHERE i > 0")
+def x08_cross_validation(spark, d):
+    """Every row with the fold that it validates in."""
+    m = t(spark, d, "mandelbugs").select("row_id", F.lower(F.trim("project")).alias("project"))
+    return D.union_outer(*[v.select("row_id", F.lit(i).alias("fold")) for i, (_, v) in enumerate(S.cross_validation(m))])
+
+
+@query("SELECT row_id FROM train_clean ORDER BY md5('42:' || row_id), row_id LIMIT 250")
+def x10_plain_sample(spark, d):
+    return S.plain_sample(t(spark, d, "train_clean").select("row_id"), 250)
+
+
+@query("SELECT row_id, CASE WHEN r <= (SELECT ceil(count(*) * 0.2) FROM mandelbugs) THEN 'validation' ELSE 'train' END AS split FROM (SELECT row_id, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) AS r FROM mandelbugs)")
+def x02_plain_fallback(spark, d):
+    """A class of one row: the split is plainly random, and no row is lost."""
+    m = t(spark, d, "mandelbugs").select("row_id")
+    least = m.agg(F.min("row_id").alias("m"))
+    m = m.crossJoin(least).select("row_id", F.when(F.col("row_id") == F.col("m"), "ODD").otherwise("SAME").alias("canonical_label"))
+    return S.stratified_split(m, 0.2).select("row_id", "split")
+
+
+@query("SELECT issue_id, count(*) AS rows FROM test GROUP BY 1 HAVING count(*) > 1")
+def v08_repeated_ids(spark, d):
+    return S.repeated_ids(t(spark, d, "test"))
+
+
+@query("SELECT issue_id FROM train_clean INTERSECT SELECT issue_id FROM validation_clean")
+def v08_shared_ids(spark, d):
+    return S.shared_between(t(spark, d, "train_clean"), t(spark, d, "validation_clean"))
+
+
+@query("SELECT issue_id FROM test GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 5")
+def l03_first_offending_ids(spark, d):
+    return S.repeated_ids(t(spark, d, "test")).orderBy("issue_id").limit(5).select("issue_id")
+
+
+@query("SELECT row_id, title, canonical_label FROM train_clean ORDER BY row_id LIMIT 5")
+def l04_head(spark, d):
+    return t(spark, d, "train_clean").select("row_id", "title", "canonical_label").orderBy("row_id").limit(5)
+
+
+@query("SELECT canonical_label, count(*) AS n FROM train_clean WHERE canonical_label IS NOT NULL GROUP BY 1 ORDER BY 1")
+def l01_sorted_counts(spark, d):
+    return D.sorted_class_counts(t(spark, d, "train_clean"))
+
+
+@query("SELECT x FROM (SELECT canonical_label AS x FROM validation_predictions UNION SELECT prediction FROM validation_predictions) WHERE x IS NOT NULL ORDER BY 1")
+def l02_label_union(spark, d):
+    v = t(spark, d, "validation_predictions")
+    return v.select(F.col("canonical_label").alias("x")).union(v.select("prediction")).filter("x IS NOT NULL").distinct().orderBy("x")
+
+
+@query("SELECT upper(trim(canonical_label)) AS canonical_label, row_number() OVER (ORDER BY upper(trim(canonical_label))) - 1 AS code FROM train_clean WHERE canonical_label IS NOT NULL GROUP BY 1")
+def txt14_sorted_codes(spark, d):
+    return D.sorted_codes(_labelled(spark, d))
+
+
+@query("SELECT c AS canonical_label, row_number() OVER (ORDER BY f) - 1 AS code FROM (SELECT upper(trim(canonical_label)) AS c, min(row_id) AS f FROM train_clean WHERE canonical_label IS NOT NULL GROUP BY 1)")
+def txt15_first_seen_codes(spark, d):
+    return D.first_seen_codes(_labelled(spark, d))
+
+
+@query(f"SELECT row_id, 128::BIGINT AS width, 2 + least(126, len(list_filter(regexp_split_to_array(text, '{_CLASS}+'), lambda x: x <> ''))) AS used FROM train_clean")
+def tok20_max_padding(spark, d):
+    x = K.padded_to_max(t(spark, d, "train_clean").select("row_id", "text"), max_length=128)
+    return x.select("row_id", F.size("input_ids").cast("bigint").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).cast("bigint").alias("used"))
+
+
+@query(f"""WITH c AS (SELECT upper(trim(canonical_label)) AS c, row_number() OVER (ORDER BY upper(trim(canonical_label))) - 1 AS k FROM train_clean WHERE canonical_label IS NOT NULL GROUP BY 1)
+    SELECT row_id, 2 + least(254, len(list_filter(regexp_split_to_array(text, '{_CLASS}+'), lambda x: x <> ''))) AS tokens, k AS labels FROM train_clean JOIN c ON c = upper(trim(canonical_label)) WHERE text IS NOT NULL AND {_strip('text')} <> ''""")
+def tok21_labelled_tokens(spark, d):
+    x = t(spark, d, "train_clean").select("row_id", "text", F.upper(F.trim("canonical_label")).alias("canonical_label")).filter(F.col("canonical_label").isNotNull() & ~T.is_blank(F.col("text")))
+    return K.tokenized(x, "row_id", K.label_codes(x)).select("row_id", F.size("input_ids").cast("bigint").alias("tokens"), F.col("labels").cast("bigint").alias("labels"))
+
+
+@query("SELECT issue_id, repository, canonical_label, CASE row_id % 4 WHEN 0 THEN 'BUG' WHEN 1 THEN 'DOCUMENTATION' WHEN 2 THEN 'ENHANCEMENT' ELSE 'QUESTION' END AS prediction FROM validation_clean")
+def k04_prediction_table(spark, d):
+    """Predictions beside the columns kept of validation, without its text."""
+    from issuequarry.plans.training import prediction_table
+
+    v = t(spark, d, "validation_clean").select("row_id", "issue_id", "repository", "canonical_label", "text")
+    scores = v.select("row_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == F.col("row_id") % 4, F.lit(0.7)).otherwise(F.lit(0.1))).alias("scores"))
+    return prediction_table(v.drop("text"), scores, ["BUG", "DOCUMENTATION", "ENHANCEMENT", "QUESTION"]).drop("row_id")
+
+
+@query("SELECT 'train' AS split, row_id, canonical_label FROM train_clean UNION ALL SELECT 'validation', row_id, canonical_label FROM validation_clean")
+def s11_load_inputs(spark, d):
+    from issuequarry.plans.training import load_inputs
+
+    a, b, _ = load_inputs(spark, f"{d}/train_clean.parquet", f"{d}/validation_clean.parquet")
+    return a.select(F.lit("train").alias("split"), "row_id", "canonical_label").unionAll(b.select(F.lit("validation"), "row_id", "canonical_label"))
+
+
+@query("""SELECT row_id, project, CASE WHEN r <= ceil(n * 0.1) THEN 'validation' ELSE 'train' END AS split FROM (SELECT row_id, project, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) AS r, count(*) OVER () AS n
+    FROM mandelbugs m WHERE NOT EXISTS (SELECT 1 FROM (SELECT project FROM mandelbugs WHERE canonical_label = 'NAM') h WHERE h.project = m.project))""")
+def t13_pretraining_corpus(spark, d):
+    """Projects held out, then a tenth for validation."""
+    from issuequarry.plans.training import pretraining_corpus
+
+    m = t(spark, d, "mandelbugs")
+    a, b, _ = pretraining_corpus(m, m.filter("canonical_label = 'NAM'").select("project"), strict=True)
+    return a.select("row_id", "project", F.lit("train").alias("split")).unionAll(b.select("row_id", "project", F.lit("validation")))
+
+
 # --- text features
 
 
@@ -391,22 +535,63 @@ def l05_vocabulary(spark, d):
 @query(f"""WITH {_GRAMS}, x AS (SELECT row_id, term, (1 + ln(c.tf)) * (ln((1.0 + (SELECT count(*) FROM train_clean)) / (1 + df)) + 1) AS w FROM c JOIN v USING (term))
     SELECT row_id, 'word' AS block, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) AS weight FROM x""")
 def t02_tfidf_word(spark, d):
-    return X.tfidf(t(spark, d, "train_clean").select("row_id", "title"), "row_id", "title", X.TfidfConfig(mode="word", word_max_features=2000)).withColumn("weight", F.round("weight", 6))
+    return X.tfidf(t(spark, d, "train_clean").select("row_id", "title"), "row_id", "title", X.TfidfConfig(feature_mode="word", word_max_features=2000)).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+_WHOLE = _GRAMS.replace("lower(coalesce(title, ''))", "lower(coalesce(text, ''))").replace("LIMIT 2000", "LIMIT 200000")
+_CHARS = rf"""cw AS (SELECT row_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_CLASS}+'), lambda x: x <> '')) AS w FROM train_clean), cm AS (SELECT row_id, ' ' || w || ' ' AS w, count(*) AS m FROM cw GROUP BY ALL),
+    cg AS (SELECT row_id, m, unnest(list_concat(list_transform(range(1, greatest(length(w) - 3, 0) + 2), lambda i: substr(w, i, 3)), CASE WHEN length(w) >= 4 THEN list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) ELSE [] END,
+    CASE WHEN length(w) >= 5 THEN list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)) ELSE [] END)) AS term FROM cm), cc AS (SELECT row_id, term, sum(m)::BIGINT AS tf FROM cg GROUP BY ALL),
+    cv AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM cc GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.98 * (SELECT count(*) FROM train_clean) ORDER BY tf DESC, term LIMIT 150000)"""
+
+
+def _weighted(block: str, counts: str, vocab: str) -> str:
+    return f"""SELECT row_id, '{block}' AS block, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) AS weight
+        FROM (SELECT row_id, term, (1 + ln(c.tf)) * (ln((1.0 + (SELECT count(*) FROM train_clean)) / (1 + df)) + 1) AS w FROM {counts} c JOIN {vocab} USING (term))"""
+
+
+@query(f"WITH {_WHOLE} {_weighted('word', 'c', 'v')}")
+def t02_tfidf_text(spark, d):
+    """The word block of the model text at the operator's own limits."""
+    return t02_tfidf_word_whole(spark, d).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {_CHARS} {_weighted('char', 'cc', 'cv')}")
+def t03_tfidf_char(spark, d):
+    """The character block of the model text at the operator's own limits."""
+    c, x = X.TfidfConfig(), t(spark, d, "train_clean").select("row_id", "text")
+    rows, counts = x.count(), X.block_counts(x, "row_id", "text", c)["char"]
+    return X.weights(counts, X.block_vocabulary(counts, rows, "char", c), rows, "row_id").select("row_id", F.lit("char").alias("block"), "term", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_WHOLE}, {_CHARS} {_weighted('word', 'c', 'v')} UNION ALL {_weighted('char', 'cc', 'cv')}")
+def t04_tfidf_text(spark, d):
+    return t04_tfidf_union(spark, d).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {_WHOLE}, x AS (SELECT row_id FROM c JOIN v USING (term)) SELECT count(*) AS nnz, count(*) * 8 AS bytes FROM x")
+def a17_matrix_audit(spark, d):
+    """What an observation of the matrix sees while it is computed once."""
+    from issuequarry.plans.models import audited
+
+    m, seen = audited(t02_tfidf_word_whole(spark, d))
+    m.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["nnz"], seen.get["bytes"])], "nnz long, bytes long")
+
+
+@query(f"WITH {_WHOLE} SELECT term, df, tf FROM v")
 def l05_vocabulary_whole(spark, d):
     """The vocabulary of the model text at the operator's own limits."""
-    c, x = X.TfidfConfig(mode="word"), t(spark, d, "train_clean").select("row_id", "text")
-    return X.vocabulary(X.term_counts(x, "row_id", X.word_terms(F.col("text"), *c.word_ngram_range)), x.count(), c.word_min_df, c.max_df, c.word_max_features)
+    c, x = X.TfidfConfig(feature_mode="word"), t(spark, d, "train_clean").select("row_id", "text")
+    return X.vocabulary(X.term_counts(x, "row_id", X.word_terms(F.col("text"), *c.word_ngram_range)), x.count(), c.word_min_df, c.word_max_df, c.word_max_features)
 
 
 @query()
 def t02_tfidf_word_whole(spark, d):
-    return X.tfidf(t(spark, d, "train_clean").select("row_id", "text"), "row_id", "text", X.TfidfConfig(mode="word"))
+    return X.tfidf(t(spark, d, "train_clean").select("row_id", "text"), "row_id", "text", X.TfidfConfig(feature_mode="word"))
 
 
-@query()
+@query(f"WITH {_WHOLE} SELECT count(DISTINCT row_id) AS rows, count(*) AS nnz, count(*) * 8 + (count(DISTINCT row_id) + 1) * 4 AS bytes FROM c JOIN v USING (term)")
 def a16_matrix_bytes_whole(spark, d):
     return X.matrix_bytes(t02_tfidf_word_whole(spark, d), "row_id")
 
@@ -418,7 +603,7 @@ def t04_tfidf_union(spark, d):
 
 @query(f"WITH {_GRAMS} SELECT count(DISTINCT row_id) AS rows, count(*) AS nnz, count(*) * 8 + (count(DISTINCT row_id) + 1) * 4 AS bytes FROM c JOIN v USING (term)")
 def a16_matrix_bytes(spark, d):
-    return X.matrix_bytes(X.tfidf(t(spark, d, "train_clean").select("row_id", "title"), "row_id", "title", X.TfidfConfig(mode="word", word_max_features=2000)), "row_id")
+    return X.matrix_bytes(X.tfidf(t(spark, d, "train_clean").select("row_id", "title"), "row_id", "title", X.TfidfConfig(feature_mode="word", word_max_features=2000)), "row_id")
 
 
 @query("SELECT text, canonical_label FROM train_clean")
@@ -426,7 +611,13 @@ def s06_projected_scan(spark, d):
     return t(spark, d, "train_clean").select("text", "canonical_label")
 
 
-@query()
+def _parts(name: str, rows: str, suffix: str) -> str:
+    return f"""SELECT CASE WHEN r <= (SELECT ceil(count(DISTINCT repository) * 0.15) FROM {rows}) THEN 'validation{suffix}' ELSE '{name}' END AS split, canon AS canonical_label
+        FROM {rows} JOIN (SELECT repository, row_number() OVER (ORDER BY md5('42:' || repository), repository) AS r FROM (SELECT DISTINCT repository FROM {rows})) USING (repository)"""
+
+
+@query(f"""WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY row_id) AS n FROM {_issues('train_clean')}) WHERE n = 1), te AS (SELECT * FROM {_issues('test')}), c AS (SELECT * FROM k WHERE h NOT IN (SELECT h FROM te))
+    SELECT split, canonical_label, count(*) AS rows FROM ({_parts('train_benchmark', 'k', '')} UNION ALL {_parts('train_clean', 'c', '_clean')} UNION ALL SELECT 'test', canon FROM te) GROUP BY ALL""")
 def prepare_splits(spark, d):
     """Rows and labels of every split of the preparation plan over train_clean and test."""
     from issuequarry.plans.prepare import prepare_frames
@@ -441,7 +632,7 @@ def t05_linear_svm(spark, d):
     from issuequarry.plans.models import fit_linear, predict_linear
 
     x = lambda n: t(spark, d, n).select("row_id", "text", F.upper(F.trim("canonical_label")).alias("canonical_label")).filter("canonical_label IS NOT NULL")
-    return M.summary(M.confusion(predict_linear(fit_linear(x("train_clean"), features=1 << 16, iterations=10), x("validation_clean")), "canonical_label", "prediction"))
+    return M.summary(M.confusion(predict_linear(fit_linear(x("train_clean")), x("validation_clean")), "canonical_label", "prediction"))
 
 
 @query("SELECT row_id, CASE WHEN contains(lower(text), 'expected') THEN 'BUG' ELSE 'QUESTION' END AS prediction FROM validation_clean")

@@ -77,13 +77,13 @@ def test_metrics_edge_cases(spark):
 
 def test_tfidf_formula(spark):
     df = spark.createDataFrame([(1, "crash save crash"), (2, "crash load")], "k long, t string")
-    got = {(r.k, r.term): r.weight for r in X.tfidf(df, "k", "t", X.TfidfConfig(mode="word", word_ngram_range=(1, 1), word_min_df=1, max_df=1.0)).collect()}
+    got = {(r.k, r.term): r.weight for r in X.tfidf(df, "k", "t", X.TfidfConfig(feature_mode="word", word_ngram_range=(1, 1), word_min_df=1, word_max_df=1.0)).collect()}
     idf = lambda n: math.log(3 / (1 + n)) + 1
     w = {"crash": (1 + math.log(2)) * idf(2), "save": idf(1)}
     norm = math.sqrt(sum(x * x for x in w.values()))
     assert abs(got[1, "crash"] - w["crash"] / norm) < 1e-9 and abs(got[1, "save"] - w["save"] / norm) < 1e-9
     with pytest.raises(ValueError):
-        X.TfidfConfig(mode="x")
+        X.TfidfConfig(feature_mode="x")
 
 
 def whole_text(spark, path, copies, words):
