@@ -15,3 +15,8 @@ def trimmed(c: Column) -> Column:
 def clean_name(c: Column) -> Column:
     x = F.lower(trimmed(c))
     return F.when(x != "", x)
+
+
+def digest_bits(c: Column, digits: int = 15) -> Column:
+    """The first hexadecimal digits of md5 as a whole number (4 bits each, at most 60): a random order that other systems can reproduce."""
+    return F.conv(F.substring(F.md5(c.cast("string")), 1, digits), 16, 10).cast("bigint")

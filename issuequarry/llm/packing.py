@@ -3,7 +3,7 @@
 A text above the capacity is cut into full pieces and a rest; other texts stay whole. Items of a kind are dealt by hash into partitions of about
 `group` items. Each is packed by best-fit decreasing, and dual feasible functions give a lower bound on its containers. A partition that
 meets its bound is done. Those with a gap give up the items of their emptiest containers, which are dealt again over fewer
-partitions and packed anew, up to `rounds` times; the last round keeps what it has. No partition ever holds more than a few times `group` items.
+partitions and packed anew, as long as that saves containers; an exchange that saves none is undone and ends the rounds. No partition ever holds more than a few times `group` items.
 
 Nulls: a null or empty text is one piece of 0 tokens. Kinds without a positive capacity are left out. Repeated rows are packed each; ties go
 by document id. Empty tables give no containers. The table of kinds is small and read on the driver.
@@ -11,6 +11,7 @@ by document id. Empty tables give no containers. The table of kinds is small and
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -22,11 +23,13 @@ from issuequarry.llm.tokens import token_counts
 from issuequarry.session import Scratch
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Least number of containers by two families of dual feasible functions: thresholds (large items count whole, small ones nothing) and rounding."""
-    n = np.bincount(sizes[sizes > 0], minlength=capacity + 1).astype(np.int64)
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Least number of containers by two families of dual feasible functions: thresholds (large items count whole, small ones nothing) and rounding. counts: items of each size."""
+    some = sizes > 0
+    n = np.zeros(capacity + 1, np.int64)
+    np.add.at(n, sizes[some], 1 if counts is None else counts[some])
     x = np.arange(capacity + 1)
-    best = math.ceil(int((n * x).sum()) / capacity)
+    best = -(-int((n * x).sum()) // capacity)
     count, mass = np.concatenate((np.cumsum(n[::-1])[::-1], [0])), np.concatenate(([0], np.cumsum(n * x)))
     e = np.arange(0, capacity // 2 + 1)
     large = count[np.minimum(capacity - e + 1, capacity + 1)]
@@ -64,30 +67,27 @@ SCHEMA = "container_kind string, capacity bigint, doc_id bigint, piece int, toke
 ITEMS = "container_kind string, capacity bigint, doc_id bigint, piece int, tokens bigint, n bigint, part bigint"
 
 
-def _pack(last: bool):
-    def work(t: pa.Table) -> pa.Table:
-        capacity = t.column("capacity")[0].as_py()
-        t = t.sort_by([("n", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        n = t.column("n").to_numpy()
-        bins = np.array(best_fit_decreasing(n.tolist(), capacity), np.int64)
-        count = int(bins.max()) + 1
-        fill = np.bincount(bins, weights=n).astype(np.int64)
-        gap = count - lower_bound(n, capacity)
-        give = np.zeros(count, bool)
-        if gap > 0 and not last:
-            give[np.argsort(fill, kind="stable")[: max(4 * gap, count // 10)]] = True
-            give &= fill < capacity
-        o = np.argsort(bins, kind="stable")
-        before = np.cumsum(n[o]) - n[o]
-        first = np.searchsorted(bins[o], np.arange(count))
-        place = np.empty(len(n), np.int64)
-        place[o] = before - before[first][bins[o]]
-        return t.append_column("bin", pa.array(bins)).append_column("place", pa.array(place)).append_column("open", pa.array(give[bins]))
-
-    return work
-
-
-def pack(df: DataFrame, kinds: DataFrame, key: str = "doc_id", text: str = "text", group: int = 20_000, rounds: int = 3) -> DataFrame:
+def _pack(t: pa.Table) -> pa.Table:
+    capacity = t.column("capacity")[0].as_py()
+    t = t.sort_by([("n", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+    n = t.column("n").to_numpy()
+    bins = np.array(best_fit_decreasing(n.tolist(), capacity), np.int64)
+    count = int(bins.max()) + 1
+    fill = np.bincount(bins, weights=n).astype(np.int64)
+    gap = count - lower_bound(n, capacity)
+    give = np.zeros(count, bool)
+    if gap > 0:
+        give[np.argsort(fill, kind="stable")[: max(4 * gap, count // 10)]] = True
+        give &= fill < capacity
+    o = np.argsort(bins, kind="stable")
+    before = np.cumsum(n[o]) - n[o]
+    first = np.searchsorted(bins[o], np.arange(count))
+    place = np.empty(len(n), np.int64)
+    place[o] = before - before[first][bins[o]]
+    return t.append_column("bin", pa.array(bins)).append_column("place", pa.array(place)).append_column("open", pa.array(give[bins]))
+
+
+def pack(df: DataFrame, kinds: DataFrame, key: str = "doc_id", text: str = "text", group: int = 20_000) -> DataFrame:
     """container_kind, container, place (tokens before it in the container), doc_id, piece (from 0), offset (tokens of the document before it), tokens."""
     spark = df.sparkSession
     scratch = Scratch(spark, "packing")
@@ -102,15 +102,23 @@ def pack(df: DataFrame, kinds: DataFrame, key: str = "doc_id", text: str = "text
     items = docs.select("container_kind", "capacity", "doc_id", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), "tokens").withColumn("n", F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity")))
     total = {r.container_kind: r.m for r in items.filter("n < capacity").groupBy("container_kind").agg(F.count("*").alias("m")).collect()}
     full = items.filter("n = capacity").select("container_kind", F.concat_ws("/", "container_kind", F.lit("full"), "doc_id", "piece").alias("container"), F.lit(0).cast("bigint").alias("place"), "doc_id", "piece", "capacity", "n")
-    now, done = items.filter("n < capacity"), [full]
-    for r in range(rounds):
+    now, done, before, last = items.filter("n < capacity"), [full], None, None
+    for r in itertools.count():
         parts = F.lit(1)
         for k, m in total.items():
             parts = F.when(F.col("container_kind") == k, F.lit(math.ceil(m / group))).otherwise(parts)
         dealt = now.withColumn("part", F.pmod(F.xxhash64(F.lit(r), "doc_id", "piece"), parts))
-        packed = scratch.keep(dealt.select(*[x.split()[0] for x in ITEMS.split(", ")]).groupBy("container_kind", "part").applyInArrow(_pack(r == rounds - 1), SCHEMA))
-        done.append(packed.filter("not open").select("container_kind", F.concat_ws("/", "container_kind", F.lit(r), "part", "bin").alias("container"), "place", "doc_id", "piece", "capacity", "n"))
+        packed = scratch.keep(dealt.select(*[x.split()[0] for x in ITEMS.split(", ")]).groupBy("container_kind", "part").applyInArrow(_pack, SCHEMA))
+        used = packed.select("container_kind", "part", "bin").distinct().count()
+        name = F.concat_ws("/", "container_kind", F.lit(r), "part", "bin").alias("container")
+        if before is not None and used >= before:  # the exchange saved nothing: the packing before it stays
+            done.append(last)
+            break
+        cols = ["container_kind", name, "place", "doc_id", "piece", "capacity", "n"]
+        done.append(packed.filter("not open").select(*cols))
+        last = packed.filter("open").select(*cols)
         now = packed.filter("open").drop("bin", "place", "open")
+        before = packed.filter("open").select("container_kind", "part", "bin").distinct().count()
         total = {x.container_kind: x.m for x in now.groupBy("container_kind").agg(F.count("*").alias("m")).collect()}
         if not total:
             break
@@ -128,7 +136,7 @@ def fill_report(packed: DataFrame, kinds: DataFrame) -> DataFrame:
     def bound(t: pa.Table) -> pa.Table:
         k = t.column("container_kind")[0].as_py()
         x, m = t.column("tokens").to_numpy(), t.column("m").to_numpy()
-        return pa.table({"container_kind": [k], "lower_bound": pa.array([lower_bound(np.repeat(x, m), caps[k])], pa.int64())})
+        return pa.table({"container_kind": [k], "lower_bound": pa.array([lower_bound(x, caps[k], m)], pa.int64())})
 
     low = hist.groupBy("container_kind").applyInArrow(bound, "container_kind string, lower_bound bigint")
     per = packed.groupBy("container_kind", "container").agg(F.sum("tokens").alias("t")).groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"))

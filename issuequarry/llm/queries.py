@@ -132,11 +132,51 @@ _ALL = (
     p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_labels,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+_BARE = r"regexp_replace({}, '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')"
+_PLACE = "('0x' || substr(md5({} || ':' || entity), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+_SPLIT = f"""
+        WITH RECURSIVE raw AS (SELECT row_id, nullif(lower({_BARE.format("repository")}), '') AS r, CASE WHEN {_BARE.format("issue_id")} <> '' THEN issue_id END AS i FROM train_clean),
+        e AS (SELECT DISTINCT r, i FROM raw WHERE r IS NOT NULL AND i IS NOT NULL), m AS (SELECT i FROM e GROUP BY i HAVING count(*) > 1),
+        l AS (SELECT DISTINCT a.r AS x, b.r AS y FROM e a JOIN e b USING (i) SEMI JOIN m USING (i) WHERE a.r <> b.r),
+        reach AS (SELECT x, y FROM l UNION SELECT p.x, l.y FROM reach p JOIN l ON p.y = l.x), comp AS (SELECT x AS r, least(x, min(y)) AS c FROM reach GROUP BY x),
+        named AS (SELECT row_id, i, 'r:' || coalesce(c, r) AS entity FROM raw LEFT JOIN comp USING (r) WHERE r IS NOT NULL), of_issue AS (SELECT i, min(entity) AS e FROM named WHERE i IS NOT NULL GROUP BY i),
+        ent AS (SELECT row_id, entity FROM named UNION ALL SELECT row_id, coalesce(e, 'i:' || i, 'n:' || row_id) FROM raw LEFT JOIN of_issue USING (i) WHERE r IS NULL),
+        size AS (SELECT entity, count(*) AS m FROM ent GROUP BY 1), big AS (SELECT * FROM size WHERE m * 1000 > (SELECT sum(m) FROM size)),
+        g AS (SELECT split_name AS s, target_share / (SELECT sum(target_share) FROM split_target) AS g, row_number() OVER (ORDER BY split_name) AS i FROM split_target),
+        cuts AS (SELECT max(s) FILTER (i = 1) AS s1, max(s) FILTER (i = 2) AS s2, max(s) FILTER (i = 3) AS s3, 1.0::DOUBLE - max(g) FILTER (i = 3) AS t2, 1.0::DOUBLE - max(g) FILTER (i = 3) - max(g) FILTER (i = 2) AS t1 FROM g),
+        salted AS (SELECT salt, m, CASE WHEN p < t1 THEN s1 WHEN p < t2 THEN s2 ELSE s3 END AS s FROM (SELECT salt, m, t1, t2, s1, s2, s3, {_PLACE.format("salt")} AS p FROM big, range(42, 298) z(salt), cuts)),
+        got AS (SELECT z.salt, g.s, g.g, coalesce(sum(m), 0)::DOUBLE AS m FROM range(42, 298) z(salt) CROSS JOIN g LEFT JOIN salted ON salted.salt = z.salt AND salted.s = g.s GROUP BY ALL),
+        far AS (SELECT salt, max(abs(m + ((SELECT sum(m) FROM size) - (SELECT coalesce(sum(m), 0) FROM big)) * g - (SELECT sum(m) FROM size) * g)) AS far FROM got GROUP BY 1), best AS (SELECT salt FROM far ORDER BY far, salt LIMIT 1)
+        """
+_MIX = """
+        WITH s AS (SELECT doc_id AS d, lower(trim(source)) AS s, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+')) AS n FROM documents),
+        t AS (SELECT mix_name, lower(trim(source)) AS s, source AS named, target_share, max_uses::BIGINT AS max_uses, total_tokens FROM mix_target),
+        q AS (SELECT s, d, coalesce(n, 0)::BIGINT AS n, sum(coalesce(n, 0)) OVER (PARTITION BY s ORDER BY ('0x' || substr(md5('42:' || d), 1, 15))::BIGINT, d)::BIGINT AS upto FROM s WHERE s IN (SELECT s FROM t)), h AS (SELECT s, sum(n)::BIGINT AS n FROM q GROUP BY s),
+        u AS (SELECT mix_name, q.s, d, use, q.n AS tokens, ((use - 1) * h.n + upto) / target_share AS finish, total_tokens, ((use - 1) * h.n + upto) / target_share - q.n / (2 * target_share) AS middle
+            FROM q JOIN h USING (s) JOIN t USING (s), LATERAL (SELECT unnest(range(1, max_uses + 1)) AS use) WHERE target_share > 0 AND total_tokens > 0 AND h.n > 0),
+        o AS (SELECT *, sum(tokens) OVER (PARTITION BY mix_name ORDER BY middle, s, d, use) AS upto FROM u), x AS (SELECT mix_name, s, d, use::BIGINT AS use, tokens, finish FROM o WHERE upto - tokens / 2 <= total_tokens)"""
 ORACLE: dict[str, str] = {
     "p1_found": """
         WITH n AS (SELECT upper(trim(canonical_label)) AS c, count(DISTINCT issue_id) AS n FROM train_clean GROUP BY 1)
         SELECT plan_name, upper(trim(canonical_label)) AS canonical_label FROM sample_target t LEFT JOIN n ON n.c = upper(trim(t.canonical_label))
         WHERE coalesce(n, 0) < greatest(coalesce(min_rows, 0), target_share * sample_rows)""",
+    "p1_report": """
+        WITH RECURSIVE n AS (SELECT upper(trim(canonical_label)) AS c, count(DISTINCT issue_id) AS n FROM train_clean WHERE trim(canonical_label) <> '' GROUP BY 1),
+        w AS (SELECT plan_name, upper(trim(t.canonical_label)) AS c, target_share, min_rows, sample_rows, coalesce(n, 0)::BIGINT AS a, coalesce(target_share, 0) AS s, least(coalesce(min_rows, 0), coalesce(n, 0)) AS m FROM sample_target t LEFT JOIN n ON n.c = upper(trim(t.canonical_label))),
+        p AS (SELECT plan_name, list(c ORDER BY c) AS cs, list(s ORDER BY c) AS s, list(m ORDER BY c) AS m, list(a ORDER BY c) AS a, least(max(sample_rows), sum(a))::BIGINT AS size FROM w GROUP BY 1),
+        d AS (SELECT *, list_min(list_filter(list_transform(range(0, 61), lambda j: 2.0 ** j), lambda f: list_sum(list_transform(range(1, len(s) + 1), lambda k: least(a[k], greatest(m[k], f * s[k])))) >= size - 1e-9 OR f >= 1e18)) AS top FROM p),
+        b AS (SELECT plan_name, 0.0::DOUBLE AS lo, top::DOUBLE AS hi, 0 AS i FROM d
+            UNION ALL SELECT b.plan_name, CASE WHEN t < size THEN (lo + hi) / 2 ELSE lo END, CASE WHEN t < size THEN hi ELSE (lo + hi) / 2 END, i + 1
+            FROM (SELECT b.*, d.size, list_sum(list_transform(range(1, len(d.s) + 1), lambda k: least(d.a[k], greatest(d.m[k], (b.lo + b.hi) / 2 * d.s[k])))) AS t FROM b JOIN d USING (plan_name) WHERE i < 200) b),
+        v AS (SELECT d.*, CASE WHEN list_sum(m) >= size THEN list_transform(m, lambda x: x * size / list_sum(m)) ELSE list_transform(range(1, len(s) + 1), lambda k: least(a[k], greatest(m[k], hi * s[k]))) END AS want FROM d JOIN b USING (plan_name) WHERE i = 200),
+        x AS (SELECT plan_name, size, unnest(cs) AS c, unnest(want)::DOUBLE AS want, unnest(a) AS a FROM v), q AS (SELECT *, floor(want + 1e-9)::BIGINT AS q FROM x),
+        e AS (SELECT *, size - sum(q) OVER (PARTITION BY plan_name) AS lack, q < a AND want - q > 1e-9 AS can FROM q),
+        r AS (SELECT plan_name, c, q + CASE WHEN can AND row_number() OVER (PARTITION BY plan_name, can ORDER BY q - want, c) <= lack THEN 1 ELSE 0 END AS drawn FROM e),
+        o AS (SELECT w.*, greatest(coalesce(min_rows, 0), s * coalesce(sample_rows, 0))::DOUBLE AS wanted, drawn FROM w JOIN r USING (plan_name, c))
+        SELECT plan_name, c AS canonical_label, target_share, min_rows, sample_rows, wanted, a AS available, drawn::BIGINT AS drawn, a < wanted AS too_few, drawn::DOUBLE / sum(drawn) OVER (PARTITION BY plan_name) AS reached_share, drawn > ceil(wanted) AS over_target FROM o""",
+    "p2_split": _SPLIT + "SELECT row_id, entity, CASE WHEN p < t1 THEN s1 WHEN p < t2 THEN s2 ELSE s3 END AS split_name FROM (SELECT row_id, entity, t1, t2, s1, s2, s3, " + _PLACE.format("(SELECT salt FROM best)") + " AS p FROM ent, cuts)",
+    "p2_shares": _SPLIT + """, o AS (SELECT entity, CASE WHEN p < t1 THEN s1 WHEN p < t2 THEN s2 ELSE s3 END AS split_name FROM (SELECT entity, t1, t2, s1, s2, s3, """ + _PLACE.format("(SELECT salt FROM best)") + """ AS p FROM ent, cuts))
+        SELECT t.split_name, target_share, count(entity) AS rows, count(DISTINCT entity) AS entities, count(entity) / (SELECT count(*) FROM o)::DOUBLE AS share FROM split_target t LEFT JOIN o USING (split_name) GROUP BY ALL""",
     "p2_found": """
         WITH RECURSIVE e AS (
             SELECT DISTINCT lower(trim(repository)) AS r, issue_id AS i FROM train_clean WHERE trim(repository) <> '' AND trim(issue_id) <> ''),
@@ -147,6 +187,10 @@ ORACLE: dict[str, str] = {
     "p6_found": """
         WITH s AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+')) AS n FROM documents)
         SELECT container_kind, doc_id FROM s, container_kind WHERE n > capacity_tokens""",
+    "p7_mix": _MIX + " SELECT mix_name, s AS source, d AS doc_id, use, tokens, finish FROM x",
+    "p7_report": _MIX + """, g AS (SELECT mix_name, s, sum(tokens)::BIGINT AS got, count(*) AS uses FROM x GROUP BY ALL)
+        SELECT mix_name, named AS source, target_share, max_uses, total_tokens, target_share * total_tokens AS wanted_tokens, coalesce(h.n, 0) AS source_tokens, coalesce(got, 0) AS reached_tokens, coalesce(uses, 0) AS uses, coalesce(got, 0) / total_tokens AS share_of_budget,
+        coalesce(got, 0) / sum(got) OVER (PARTITION BY mix_name) AS share_of_mix, coalesce(h.n, 0) * max_uses < target_share * total_tokens AS too_few, coalesce(got, 0) >= coalesce(h.n, 0) * max_uses AS ran_out FROM t LEFT JOIN h USING (s) LEFT JOIN g USING (mix_name, s)""",
     "p7_found": """
         WITH s AS (SELECT lower(trim(source)) AS s, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+')) AS n FROM documents),
         t AS (SELECT s, sum(n) AS n FROM s GROUP BY s)

@@ -2,9 +2,10 @@
 
 Units are the different issue ids of a category; the last load of an issue stands for it. For each plan the category quotas come from one
 scale factor: max(minimum, factor * share), never more than there is, with the sum of the plan's size. A two-way table of category and
-stratum (clean repository, hashed into at most `strata` parts and one for none) shares each quota out in proportion to what is
-there, and controlled rounding by maximum flow makes it integer with both margins kept. Each cell then takes its exact quota by random key: whole
-key ranges below the cut from a histogram, and a ranking inside the one range that holds the cut, so no cell is ever sorted in one task.
+stratum shares each quota out in proportion to what is there, and controlled rounding by maximum flow makes it integer with both margins kept. A stratum is a clean
+repository of at least one in `own` units (so there are at most `own` of these), a part of the smaller ones (hashed into `strata` parts, whose margins hold together), or
+the units without a repository. Each cell then takes its exact quota by random key: whole key ranges below the cut from a histogram, and a ranking inside the one range that holds
+the cut, so no cell is ever sorted in one task. Where a category runs out the others fill the plan's size; the report tells the share that each reached and which lie above their target.
 
 Nulls: rows without a category or an issue id are no units; a null share counts 0, a null minimum 0. An issue with two categories counts in
 both. Ties of the load time go to the larger row id. Empty tables give quotas of 0. The plan table is small and read on the driver.
@@ -111,13 +112,19 @@ def category_quotas(size: int, share: list[float], least: list[float], there: li
     return q
 
 
-def draw(df: DataFrame, plans: DataFrame, category: str = "canonical_label", unit: str = "issue_id", key: str = "row_id", stratum: str = "repository", loaded: str = "ingested_at", strata: int = 64, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(sample, report). sample: plan_name, category, unit, key. report: per plan row what was wanted, there, and drawn."""
+def draw(df: DataFrame, plans: DataFrame, category: str = "canonical_label", unit: str = "issue_id", key: str = "row_id", stratum: str = "repository", loaded: str = "ingested_at", strata: int = 64, own: int = 256, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(sample, report). sample: plan_name, category, unit, key. report: per plan row what was wanted, there, and drawn, the share of the plan's sample that this is, and flags."""
     spark = df.sparkSession
     scratch = Scratch(spark, "quota")
     part = clean_name(F.col(stratum))
+    names_of = df.select(part.alias("r")).groupBy("r").agg(F.count("*").alias("m"))
+    total = names_of.agg(F.sum("m").alias("t"))  # one row
+    large = names_of.crossJoin(total).filter((F.col("m") * own >= F.col("t")) & F.col("r").isNotNull())
+    number = {r.r: i for i, r in enumerate(large.orderBy("r").select("r").collect())}  # at most `own` names
+    known = F.create_map(*[F.lit(x) for kv in number.items() for x in kv])[part] if number else F.lit(None).cast("int")
+    of = F.when(part.isNull(), F.lit(-1)).otherwise(F.coalesce(known, F.pmod(F.xxhash64(part), F.lit(strata)) + own)).cast("int")
     rows = df.select(
-        F.upper(trimmed(F.col(category))).alias("c"), F.col(unit).alias("u"), F.struct(F.col(loaded).alias("a"), F.col(key).alias("b"), F.when(part.isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(part), F.lit(strata))).cast("int").alias("s")).alias("x")
+        F.upper(trimmed(F.col(category))).alias("c"), F.col(unit).alias("u"), F.struct(F.col(loaded).alias("a"), F.col(key).alias("b"), of.alias("s")).alias("x")
     ).filter("c <> '' and u is not null")
     units = scratch.keep(
         rows.groupBy("c", "u").agg(F.max("x").alias("x"))
@@ -145,11 +152,11 @@ def draw(df: DataFrame, plans: DataFrame, category: str = "canonical_label", uni
         for i, w in enumerate(ws):
             report.append((plan, w["c"], w["target_share"], w["min_rows"], w["sample_rows"], float(max(least[i], share[i] * (w["sample_rows"] or 0))), a[i]))
             quota += [(plan, w["c"], s, cells[i][j]) for j, s in enumerate(cols) if cells and cells[i][j]]
-    q = F.broadcast(spark.createDataFrame(quota, "plan_name string, c string, s int, q long"))  # plans x categories x (strata + 1) rows
+    q = F.broadcast(spark.createDataFrame(quota, "plan_name string, c string, s int, q long"))  # plans x categories x (own + strata + 1) rows
     upto = hist.withColumn("upto", F.sum("m").over(Window.partitionBy("c", "s").orderBy("g")))  # at most RANGES rows a window
     reach = upto.join(q, ["c", "s"]).filter(F.col("upto") >= F.col("q")).groupBy("plan_name", "c", "s", "q").agg(F.min(F.struct("g", "upto", "m")).alias("x"))
     cuts = reach.groupBy("c", "s").agg(F.collect_list(F.struct("plan_name", F.col("x.g").alias("cut"), (F.col("q") - F.col("x.upto") + F.col("x.m")).alias("left"))).alias("p"))
-    hit = units.join(F.broadcast(cuts), ["c", "s"]).select("c", "u", "b", "s", "h", "g", F.inline("p")).filter("g <= cut")  # categories x (strata + 1) rows
+    hit = units.join(F.broadcast(cuts), ["c", "s"]).select("c", "u", "b", "s", "h", "g", F.inline("p")).filter("g <= cut")  # categories x (own + strata + 1) rows
     order = Window.partitionBy("plan_name", "c", "s").orderBy("h", "u")  # the one range of each cell that holds its cut
     border = hit.filter("g = cut").withColumn("r", F.row_number().over(order)).filter("r <= left")
     sample = scratch.keep(hit.filter("g < cut").select("plan_name", "c", "u", "b").unionAll(border.select("plan_name", "c", "u", "b")))
@@ -157,5 +164,5 @@ def draw(df: DataFrame, plans: DataFrame, category: str = "canonical_label", uni
     told = spark.createDataFrame(report, "plan_name string, c string, target_share double, min_rows long, sample_rows long, wanted double, available long")
     full = told.join(drawn, ["plan_name", "c"], "left").select(
         "plan_name", F.col("c").alias(category), "target_share", "min_rows", "sample_rows", "wanted", "available", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("available") < F.col("wanted")).alias("too_few")
-    )
+    ).withColumn("reached_share", F.coalesce(F.try_divide(F.col("drawn"), F.sum("drawn").over(Window.partitionBy("plan_name"))), F.lit(0.0))).withColumn("over_target", F.col("drawn") > F.ceil(F.col("wanted")))
     return sample.select("plan_name", F.col("c").alias(category), F.col("u").alias(unit), F.col("b").alias(key)), full

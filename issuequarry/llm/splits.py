@@ -4,8 +4,9 @@ Rows that share a clean repository name or an issue id, directly or through othe
 the graph holds repositories only: two are linked where one issue id stands under both. Components come from alternating large-star
 and small-star. A row without a repository goes with its issue, a row with neither is alone. Null or blank issue ids link nothing.
 
-Components of more than 1/1000 of all rows (fewer than a thousand, so the driver can hold them) are dealt out largest first to the split
-that lacks most; the identifiers of the others are hashed into ranges proportional to what each split then lacks.
+Component identifiers are hashed into ranges proportional to the shares. The hash has a salt: of `salts` of them the one is taken under which the large components
+(those of more than 1/1000 of all rows, so fewer than a thousand) fall so that the shares come nearest to the targets; the small ones spread evenly under any. Every component, large or
+small, gets its split by the same hash.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuequarry.llm.components import connected_components
-from issuequarry.llm.names import clean_name, trimmed
+from issuequarry.llm.names import clean_name, digest_bits, trimmed
 from issuequarry.session import Scratch
 
 
@@ -46,38 +47,32 @@ def row_components(df: DataFrame, scratch: Scratch, key: str = "row_id", name: s
     return named.select(key, "entity").unionAll(rest.select(key, other.alias("entity")))
 
 
-def grouped_split(df: DataFrame, targets: DataFrame, key: str = "row_id", name: str = "repository", issue: str = "issue_id", seed: int = 42) -> DataFrame:
+def grouped_split(df: DataFrame, targets: DataFrame, key: str = "row_id", name: str = "repository", issue: str = "issue_id", seed: int = 42, salts: int = 256) -> DataFrame:
     """(key, entity, split_name). targets: split_name, target_share (a small table; shares are scaled to sum 1, null or negative ones count 0)."""
     scratch = Scratch(df.sparkSession, "splits")
     rows = scratch.keep(row_components(df, scratch, key, name, issue))
     goal = {r.split_name: max(0.0, r.target_share or 0.0) for r in targets.select("split_name", "target_share").orderBy("split_name").collect()}
-    total = rows.count()
     if not goal or sum(goal.values()) <= 0:
         raise ValueError("no split has a positive share")
-    lack = {s: g / sum(goal.values()) * total for s, g in goal.items()}
-    size = rows.groupBy("entity").agg(F.count("*").alias("m"))
-    big = sorted(size.filter(F.col("m") * 1000 > total).collect(), key=lambda r: (-r.m, r.entity))
-    fixed = []
-    for r in big:
-        s = max(lack, key=lambda x: (lack[x], x))
-        lack[s] -= r.m
-        fixed.append((r.entity, s))
-    left = {s: max(0.0, x) for s, x in lack.items()}
-    if sum(left.values()) <= 0:
-        left = goal
-    at, edges = 0.0, []
-    for s, x in left.items():
-        at += x / sum(left.values())
-        edges.append((s, at))
-    place = F.xxhash64(F.lit(seed), F.col("entity")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    pick = F.lit(edges[-1][0])
-    for s, x in reversed(edges[:-1]):
-        pick = F.when(place < x, F.lit(s)).otherwise(pick)
-    if fixed:  # at most 999 rows
-        known = F.broadcast(df.sparkSession.createDataFrame(fixed, "entity string, s string"))
-        rows = rows.join(known, "entity", "left")
-        pick = F.coalesce(F.col("s"), pick)
-    return rows.select(key, "entity", pick.alias("split_name"))
+    goal = {s: g / sum(goal.values()) for s, g in goal.items() if g > 0}
+
+    def pick(salt) -> Column:
+        place = digest_bits(F.concat(salt.cast("string"), F.lit(":"), F.col("entity")), 13) / float(1 << 52)
+        out, at = F.lit(list(goal)[-1]), 1.0
+        for s in reversed(list(goal)[:-1]):
+            at -= goal[list(goal)[list(goal).index(s) + 1]]
+            out = F.when(place < at, F.lit(s)).otherwise(out)
+        return out
+
+    size = scratch.keep(rows.groupBy("entity").agg(F.count("*").alias("m")))
+    total = size.agg(F.sum("m")).first()[0] or 0
+    large = size.filter(F.col("m") * 1000 > total).select("entity", "m", F.explode(F.sequence(F.lit(seed), F.lit(seed + salts - 1))).alias("salt"))
+    got: dict[int, dict[str, int]] = {s: dict.fromkeys(goal, 0) for s in range(seed, seed + salts)}
+    for r in large.groupBy("salt", pick(F.col("salt")).alias("s")).agg(F.sum("m").alias("m")).collect():  # salts x splits
+        got[r.salt][r.s] = r.m
+    rest = total - sum(got[seed].values())
+    best = min(got, key=lambda x: (max(abs(got[x][s] + rest * g - total * g) for s, g in goal.items()), x))
+    return rows.select(key, "entity", pick(F.lit(best)).alias("split_name"))
 
 
 def split_shares(split: DataFrame, targets: DataFrame) -> DataFrame:

@@ -136,6 +136,58 @@ def test_no_pair_is_lost_to_hashing(spark):
     assert sorted(map(tuple, overlap.split_overlaps({"e": frame(a)}, frame(b), width=3, t=0.6).collect())) == [("e", 0, 1), ("e", 2, 3), ("e", 4, 5)]
 
 
+@pytest.mark.parametrize("hot", [512, 20])
+def test_pairs_at_the_threshold_against_all_pairs(spark, monkeypatch, hot):
+    """1,200 sets of words from one small vocabulary, with planted pairs of likeness exactly 0.6 of several sizes: every link is found, by groups and by pairs."""
+    from functools import partial
+
+    for m in (neardup, overlap):
+        monkeypatch.setattr(m, "blocks", partial(shingles.blocks, hot_count=hot, chunk=64))
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(700)]
+    docs = []
+    for i in range(400):
+        size = r.choice([3, 9, 30, 60])
+        some = r.sample(words, size + 2 * (size // 3))
+        docs += [some[:size] + some[size : size + size // 3], some[:size] + some[size + size // 3 :], r.sample(words, r.choice([5, 20, 80]))]
+    x = np.zeros((len(docs), 700), np.int32)
+    for i, d in enumerate(docs):
+        x[i, [int(w[1:]) for w in d]] = 1
+    both = x @ x.T
+    n = x.sum(axis=1)
+    link = both >= 0.6 * (n[:, None] + n[None, :] - both) - 1e-9
+    assert sum(abs(both[3 * i, 3 * i + 1] / (n[3 * i] + n[3 * i + 1] - both[3 * i, 3 * i + 1]) - 0.6) < 1e-9 for i in range(400)) == 400
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], TEXT)
+    label = np.arange(len(docs))
+    shingles.joined(label, *np.nonzero(link))
+    count = Counter(label.tolist())
+    want = sorted((g, i) for i, g in enumerate(label.tolist()) if count[g] > 1)
+    assert sorted(map(tuple, neardup.near_duplicate_groups(df, width=1, t=0.6).collect())) == want
+    ev = [i for i in range(len(docs)) if i % 3 == 0]
+    want = sorted(("e", i, j) for i in ev for j in range(len(docs)) if j % 3 and link[i, j])
+    assert sorted(map(tuple, overlap.split_overlaps({"e": df.filter("row_id % 3 = 0")}, df.filter("row_id % 3 > 0"), width=1, t=0.6).collect())) == want
+
+
+def test_partner_sketch_keeps_every_partner():
+    """Rows of pairs that fit at their first common run are known to each other, whatever else the cells hold."""
+    r = np.random.default_rng(4)
+    n = r.integers(1, 400, 3000)
+    pos = (r.random(3000) * (n - np.ceil(0.6 * n) + 1)).astype(np.int64)
+    h, side = r.integers(0, 40, 3000).astype(np.uint64), np.ones(3000, np.int32)
+    for two in (False, True):
+        side = r.integers(1, 3, 3000) if two else side
+        bits = 16
+        cells = np.bincount(shingles.sized_cell(h, side, shingles.size_class(n), shingles.place_of(pos / n, 0.6), bits), minlength=1 << bits)
+        x = np.minimum(cells, 3).astype(np.uint8).reshape(-1, 4)
+        packed = x[:, 0] | x[:, 1] << 2 | x[:, 2] << 4 | x[:, 3] << 6
+        known = shingles.has_partner(h, n, pos, side, 0.6, packed, bits, two)
+        a, b = np.nonzero((h[:, None] == h[None, :]) & ~np.eye(3000, dtype=bool))
+        if two:
+            a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+        ok = shingles.fits(a, b, n, pos, 0.6)
+        assert len(np.unique(a[ok])) > 300 and known[a[ok]].all() and not known.all()
+
+
 def test_trie_join_finds_all_pairs_in_budget():
     r = np.random.default_rng(1)
     v = r.integers(0, 2**63, (60, 2), dtype=np.uint64)
@@ -189,7 +241,16 @@ def test_draw(spark):
     assert Counter((r.plan_name, r.canonical_label) for r in got if r.plan_name == "p") == {("p", "BUG"): 30, ("p", "QUESTION"): 30}
     rep = {(r.plan_name, r.canonical_label): r for r in report.collect()}
     assert rep["big", "QUESTION"].too_few and rep["big", "QUESTION"].drawn == rep["big", "QUESTION"].available == 60
+    assert rep["p", "BUG"].reached_share == 0.5 and not rep["p", "BUG"].over_target
     assert all(r.drawn == 0 for r in quota_sample.draw(df.limit(0), plans)[1].collect())
+    few = spark.createDataFrame([("q", "BUG", 0.2, None, 150), ("q", "QUESTION", 0.8, None, 150)], "plan_name string, canonical_label string, target_share double, min_rows long, sample_rows long")
+    rep = {r.canonical_label: r for r in quota_sample.draw(df, few)[1].collect()}
+    assert rep["BUG"].over_target and rep["BUG"].drawn == 90 and rep["QUESTION"].too_few
+    # a repository is a stratum of its own: its part of a category is drawn to within one
+    where = {r.issue_id: r.repository for r in df.filter("issue_id is not null").orderBy("ingested_at").collect()}
+    part = Counter(where[r.issue_id] for r in got if (r.plan_name, r.canonical_label) == ("p", "BUG"))
+    there = Counter(where[i] for i in {r.issue_id for r in df.filter("canonical_label = 'bug ' and issue_id is not null").collect()})
+    assert all(abs(part[x] - 30 * m / sum(there.values())) < 1 for x, m in there.items())
 
 
 # --- p2
@@ -219,6 +280,9 @@ def test_grouped_split(spark):
         x = d.withColumn("c", F.lower(F.trim(c))).filter("c <> ''")
         assert x.groupBy("c").agg(F.count_distinct("split_name").alias("n")).filter("n > 1").isEmpty()
     assert splits.split_shares(splits.grouped_split(df.limit(0), goal), goal).count() == 3
+    apart = spark.createDataFrame([(i, f"r{i % 9 if i % 3 else i}", f"i{i}") for i in range(2000)], "row_id long, repository string, issue_id string")
+    shares = {r.split_name: (r.share, r.target_share) for r in splits.split_shares(splits.grouped_split(apart, goal), goal).collect()}
+    assert all(abs(a - b) < 0.05 for a, b in shares.values()), shares  # six repositories hold two thirds of the rows
     pairs = spark.createDataFrame([(1, "b", "x"), (2, "A ", "x"), (3, "C", "y"), (4, "a", "y"), (5, "d", "z")], "row_id long, repository string, issue_id string")
     assert sorted(map(tuple, splits.linked_names(splits.entity_components(pairs, Scratch(spark, "t"))).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
 
@@ -237,6 +301,7 @@ def test_bounds_and_packing():
             fill[b] += s
         assert max(fill.values()) <= c and packing.lower_bound(np.array(x), c) <= max(bins) + 1
     assert packing.lower_bound(np.array([6, 6, 6]), 10) == 3
+    assert packing.lower_bound(np.array([6, 3]), 10, np.array([3, 5])) == packing.lower_bound(np.array([6] * 3 + [3] * 5), 10) == 4
 
 
 def test_containers(spark):
@@ -270,6 +335,18 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), goal)[0].count() == 0
 
 
+def test_mix_goes_on_to_its_budget(spark):
+    docs = [(i, "small" if i < 20 else "big" if i < 500 else "more", "w " * (5 + i % 7)) for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    goal = spark.createDataFrame([("m", s, w, u, 2000) for s, w, u in (("small", 0.5, 2), ("big", 0.3, 1), ("more", 0.2, 1))], "mix_name string, source string, target_share double, max_uses int, total_tokens long")
+    got, rep = mixing.mix(df, goal)
+    r = {x.source: x for x in rep.collect()}
+    assert r["small"].ran_out and r["small"].too_few and r["small"].reached_tokens == 2 * r["small"].source_tokens and not r["big"].ran_out
+    assert abs(sum(x.reached_tokens for x in r.values()) - 2000) <= 6  # half a document
+    assert abs(r["big"].reached_tokens / r["more"].reached_tokens - 1.5) < 0.05
+    assert mixing.horizon(10, [(1.0, 2.0), (1.0, 100.0)]) == 8.0 and mixing.horizon(10, [(1.0, 2.0)]) == float("inf")
+
+
 # --- p8
 
 
