@@ -26,6 +26,12 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_columns(df, cols, "row_id", lookalike.bigram_scores(df, cols))
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose look is stored in more than one way, with their group and variant."""
+    df, cols = _t(spark, d, "train_clean"), ["title", "body"]
+    return lookalike.same_look_groups(lookalike.same_look_keys(df, cols, "row_id", lookalike.bigram_scores(df, cols)))
+
+
 def _evals(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {x: _t(spark, d, x) for x in ("test", "validation_clean")}
 
@@ -75,6 +81,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.linked_names(splits.entity_components(_t(spark, d, "train_clean"), Scratch(spark, "splits")))
 
 
+def p2_components(spark: SparkSession, d: str) -> DataFrame:
+    """Every linked repository name with the least name of its component."""
+    return splits.entity_components(_t(spark, d, "train_clean"), Scratch(spark, "splits"))
+
+
 def p2_split(spark: SparkSession, d: str) -> DataFrame:
     """The split of every train_clean row."""
     return splits.grouped_split(_t(spark, d, "train_clean"), _t(spark, d, "split_target"))
@@ -128,7 +139,7 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_sample, p1_report, p2_found, p2_split, p2_shares, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_groups,
+    p1_found, p1_sample, p1_report, p2_found, p2_components, p2_split, p2_shares, p3_found, p3_report, p4_found, p4_groups, p4_forms, p5_found, p5_groups,
     p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_labels,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
@@ -174,6 +185,7 @@ ORACLE: dict[str, str] = {
         r AS (SELECT plan_name, c, q + CASE WHEN can AND row_number() OVER (PARTITION BY plan_name, can ORDER BY q - want, c) <= lack THEN 1 ELSE 0 END AS drawn FROM e),
         o AS (SELECT w.*, greatest(coalesce(min_rows, 0), s * coalesce(sample_rows, 0))::DOUBLE AS wanted, drawn FROM w JOIN r USING (plan_name, c))
         SELECT plan_name, c AS canonical_label, target_share, min_rows, sample_rows, wanted, a AS available, drawn::BIGINT AS drawn, a < wanted AS too_few, drawn::DOUBLE / sum(drawn) OVER (PARTITION BY plan_name) AS reached_share, drawn > ceil(wanted) AS over_target FROM o""",
+    "p2_components": _SPLIT + "SELECT r AS node, c AS component FROM comp",
     "p2_split": _SPLIT + "SELECT row_id, entity, CASE WHEN p < t1 THEN s1 WHEN p < t2 THEN s2 ELSE s3 END AS split_name FROM (SELECT row_id, entity, t1, t2, s1, s2, s3, " + _PLACE.format("(SELECT salt FROM best)") + " AS p FROM ent, cuts)",
     "p2_shares": _SPLIT + """, o AS (SELECT entity, CASE WHEN p < t1 THEN s1 WHEN p < t2 THEN s2 ELSE s3 END AS split_name FROM (SELECT entity, t1, t2, s1, s2, s3, """ + _PLACE.format("(SELECT salt FROM best)") + """ AS p FROM ent, cuts))
         SELECT t.split_name, target_share, count(entity) AS rows, count(DISTINCT entity) AS entities, count(entity) / (SELECT count(*) FROM o)::DOUBLE AS share FROM split_target t LEFT JOIN o USING (split_name) GROUP BY ALL""",

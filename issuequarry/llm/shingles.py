@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from issuequarry.llm.lookalike import confusable_letters
 from issuequarry.llm.textform import ConsistentForm
 from issuequarry.session import Scratch
 
@@ -62,8 +63,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 class RunHasher:
     """Texts of a batch to (content key, number of runs, packed sorted runs)."""
 
-    def __init__(self, width: int):
-        self.width, self.form, self.cache = width, ConsistentForm(), {}
+    def __init__(self, width: int, more: dict[str, str] | None = None):
+        self.width, self.form, self.cache = width, ConsistentForm(None, more), {}
         self.words = re.compile(r"[^\W_]+")
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -110,8 +111,10 @@ class RunHasher:
 def run_sets(df: DataFrame, key: str, text: str, width: int, side: int = 1) -> DataFrame:
     """row_id, side, k (64-bit key of the set, or of the text where it has no run), n, sh. A null text is an empty one."""
 
+    more = confusable_letters(df.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = RunHasher(width)
+        hasher = RunHasher(width, more)
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 c = b.slice(i, 4096)
@@ -587,6 +590,7 @@ def blocks(base: DataFrame, copied: DataFrame, t: float, scratch: Scratch, two_s
     early = lambda warm: early_runs(sets, sketch, bits, partners, own, t, hot, warm, two_sided)
     cold, warm = cold_blocks(early(False), t, two_sided, scratch), hot_blocks(scratch.keep(early(True)), chunk)
     found = scratch.keep(cold.select("block", "part", "k", "side").unionAll(warm.select("block", "part", "k", "side")))
+    partners.destroy()  # nothing that is still to be computed reads it
     some = only_in(sets, *handed_out(spark, bloom(found.select("k"))))
     rows = found.join(long_vectors(some), "k").select("block", "part", "side", "k", "v")
     lists = each_batch(rows, lambda: ListFinder(t, two_sided), "block bigint, least bigint, k bigint, side int", VectorBatch, most_rows=20_000).distinct()

@@ -5,7 +5,7 @@ Steps, each a function of what a reader sees and never of the stored variant:
 1. compatibility normalization of width, ligature and font variants, decomposition, one kind of space and of line break;
    super- and subscripts, circled and fractional signs stay, since they look different;
 2. deletion of ignorable characters (a joiner between two pictographs stays: it changes the picture);
-3. every letter is read as its look-alike class; a word is a lattice of the members of the classes of its letters, and a
+3. every letter is read as its look-alike class (LOOKALIKES, and where a session is at hand the confusable letters of further scripts, lookalike.py); a word is a lattice of the members of the classes of its letters, and a
    Viterbi search takes the path with the best script-consistent character n-gram score. The stored member of a class
    never enters the score, so texts that look the same get the same path;
 4. canonical composition.
@@ -31,6 +31,10 @@ LOOKALIKES = {
 # Members that only stand in for their Latin letter.
 STAND_INS = "ɡϲϳϹͿѵѴԛԝԜԁһҮӀ"
 
+# Letters of the scripts other than Latin, for regular expressions.
+RANGES = {
+    "C": "\u0400-\u052f", "G": "\u0370-\u03e1\u03f0-\u03ff\u1f00-\u1fff", "A": "\u0530-\u058f", "K": "\u2c80-\u2cff\u03e2-\u03ef", "H": "\u13a0-\u13ff\uab70-\uabbf", "S": "\ua4d0-\ua4f7",
+}
 _MEMBERS = frozenset("".join(LOOKALIKES.values()))
 SWITCH = -12.0  # another script inside a word
 PRIOR = 3.0  # the script that leads in the text
@@ -39,15 +43,21 @@ _TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "
 
 
 def script_of(ch: str) -> str:
-    """L(atin), C(yrillic), G(reek), A(rmenian) or '' for other characters."""
+    """L(atin), C(yrillic), G(reek), A(rmenian), K (Coptic), H (Cherokee), S (Lisu) or '' for other characters."""
     cp = ord(ch)
     if cp < 0x250 or 0x250 <= cp < 0x2B0 or 0x1E00 <= cp < 0x1F00:
         return "L" if ch.isalpha() else ""
-    if 0x370 <= cp < 0x400 or 0x1F00 <= cp < 0x2000:
+    if 0x370 <= cp < 0x3E2 or 0x3F0 <= cp < 0x400 or 0x1F00 <= cp < 0x2000:
         return "G"
     if 0x400 <= cp < 0x530:
         return "C"
-    return "A" if 0x530 <= cp < 0x590 else ""
+    if 0x530 <= cp < 0x590:
+        return "A"
+    if 0x2C80 <= cp < 0x2D00 or 0x3E2 <= cp < 0x3F0:
+        return "K"
+    if 0x13A0 <= cp < 0x1400 or 0xAB70 <= cp < 0xABC0:
+        return "H"
+    return "S" if 0xA4D0 <= cp < 0xA4F8 else ""
 
 
 def is_pictograph(cp: int) -> bool:
@@ -75,7 +85,7 @@ def fold_point(cp: int) -> str:
         return ch
     if d[0] == "<":
         tag, rest = d.split(" ", 1)
-        if tag in _TAGS or tag == "<compat>" and cat[0] == "L" and not 0x3131 <= cp <= 0x318E:
+        if tag in _TAGS or tag == "<compat>" and (cat[0] == "L" or cat == "Nl") and not 0x3131 <= cp <= 0x318E:
             return "".join(fold_point(int(x, 16)) for x in rest.split())
         return ch
     return "".join(fold_point(int(x, 16)) for x in d.split())
@@ -92,30 +102,37 @@ class _Fold(dict):
 class ConsistentForm:
     """A callable from text to its consistent form. bigrams: log scores of letter pairs by script, or None for script consistency alone."""
 
-    def __init__(self, bigrams: dict[str, float] | None = None):
-        self.bigrams = bigrams
+    def __init__(self, bigrams: dict[str, float] | None = None, more: dict[str, str] | None = None):
+        """more: further members by class, or classes without a Latin member (first member as their name)."""
+        self.bigrams, self.more = bigrams, more or {}
         self.start()
 
     def start(self) -> None:
         self.fold, self.words = _Fold(), {}
         self.proto, self.readings = {}, {}
-        for latin, others in LOOKALIKES.items():
-            self.readings[latin] = [("L", latin)]
-            for o in others:
-                self.proto[ord(o)] = latin
-                if o not in STAND_INS:
-                    self.readings[latin].append((script_of(o), o))
+        for table in (LOOKALIKES, self.more):
+            for first, others in table.items():
+                own = self.readings.setdefault(first, [(script_of(first), first)])
+                for o in others:
+                    self.proto[ord(o)] = first
+                    if o not in STAND_INS:
+                        own.append((script_of(o), o))
         self.joined = re.compile("(?<=[\u2600-\u27bf\U0001f000-\U0001faff\u2640\u2642\ufe0f])\u200d(?=[\u2600-\u27bf\U0001f000-\U0001faff\u2640\u2642])")
         self.word = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f])*")
-        self.cyrillic, self.greek = re.compile("[\u0400-\u052f]"), re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
-        self.armenian = re.compile("[\u0530-\u058f]")
-        self.latin_only = re.compile("[" + "".join(c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if len(self.readings.get(c, ())) < 2) + "ßłŁøđıæœ]")
+        self.spelt = re.compile(f"[{''.join(RANGES.values())}]")
+        shared = "".join(re.escape(c) for c, r in self.readings.items() if len(r) > 1)
+        self.own = {s: re.compile(f"(?![{shared}])[{x}]") for s, x in RANGES.items()}  # letters that no other script can spell
+        self.foreign = re.compile(f"(?![{shared}])[{''.join(RANGES.values())}]")
+        ascii_ = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        spelt = {c: {s for s, _ in self.readings.get(c, ())} for c in ascii_}
+        self.not_in = {s: re.compile("[" + "".join(c for c in ascii_ if s not in spelt[c]) + "ßłŁøđıæœ]") for s in RANGES}  # Latin letters that a script lacks
+        self.latin_only = re.compile("[" + "".join(c for c in ascii_ if not spelt[c] & {"C", "G"}) + "ßłŁøđıæœ]")
 
     def __getstate__(self) -> dict:
-        return {"bigrams": self.bigrams}
+        return {"bigrams": self.bigrams, "more": self.more}
 
     def __setstate__(self, s: dict) -> None:
-        self.__init__(s["bigrams"])
+        self.__init__(s["bigrams"], s["more"])
 
     def classes(self, text: str) -> str:
         """Steps 1 and 2, then every letter as the first member of its look-alike class: equal exactly for texts that look the same."""
@@ -131,20 +148,16 @@ class ConsistentForm:
 
     def leading(self, classes: str) -> str:
         """The script with the most words that only it can spell; Latin if none leads."""
-        n = {"L": 0, "C": 0, "G": 0, "A": 0}
-        for w in self.word.findall(classes):
-            if w.isascii():
-                n["L"] += bool(self.latin_only.search(w))
-            elif self.cyrillic.search(w):
-                n["C"] += 1
-            elif self.greek.search(w):
-                n["G"] += 1
-            elif self.armenian.search(w):
-                n["A"] += 1
+        words = self.word.findall(classes)
+        n = dict.fromkeys(RANGES, 0)
+        latin = []
+        for w in words:
+            if w.isascii() or not self.foreign.search(w):
+                latin.append(w)
             else:
-                n["L"] += bool(self.latin_only.search(w))
-        best = max("CGA", key=lambda s: n[s])
-        return best if n[best] > 0 and n[best] >= n["L"] else "L"
+                n[next(s for s, own in self.own.items() if own.search(w))] += 1
+        best = max(RANGES, key=lambda s: n[s])
+        return best if n[best] > 0 and n[best] >= sum(bool(self.not_in[best].search(w)) for w in latin) else "L"
 
     def read(self, word: str, leading: str) -> str:
         """The best path through the lattice of one word of classes."""
@@ -199,7 +212,7 @@ def count_bigrams(texts, form: ConsistentForm, counts: dict[str, int]) -> None:
             if w.isascii():
                 if not form.latin_only.search(w):
                     continue
-            elif not (form.cyrillic.search(w) or form.greek.search(w) or form.latin_only.search(w)):
+            elif not (form.spelt.search(w) or form.latin_only.search(w)):
                 continue
             for i in range(len(w) - 1):
                 a, b = w[i], w[i + 1]

@@ -37,6 +37,27 @@ def test_form_ignores_which_member_is_stored():
     assert unicodedata.name(f("Окно не открывается")[0]).startswith("CYRILLIC")
 
 
+def test_letters_of_further_scripts(spark):
+    more = lookalike.confusable_letters(spark)
+    f = ConsistentForm(None, more)
+    for a, b in [("Г", "Γ"), ("П", "Π"), ("Ф", "Φ"), ("Ⅳ", "IV"), ("ꓮꓐ", "AB"), ("Ꭺ", "A"), ("ո", "n"), ("\u2c9f", "o")]:
+        assert f(a) == f(b), (a, b)
+    for a, b in [("г", "r"), ("σ", "o"), ("α", "a"), ("ι", "i"), ("l", "I"), ("O", "0"), ("rn", "m"), ("σ", "ο"), ("п", "n")]:
+        assert f(a) != f(b), (a, b)
+    for text in ("ᎠᏂᏴᏫᏯ ᏣᎳᎩ", "Γραφή και ήχος", "Графика и звук", "ꓡꓲ-ꓢꓴ ꓐꓯ", "հայերեն գիր"):  # whole words of one script stay in it
+        assert f(text) == unicodedata.normalize("NFC", text), (text, f(text))
+        assert f(unicodedata.normalize("NFD", text)) == f(text)
+    every = [x + c for c, o in {**LOOKALIKES, **more}.items() for x in o]
+    assert all(f(x[0]) == f(x[1]) for x in every)
+
+
+def test_groups_of_one_look(spark):
+    rows = [(i, "" if i % 2 else "\u200b", None) for i in range(300)] + [(900, "a", ""), (901, "a", "")]
+    df = spark.createDataFrame(rows, "row_id long, title string, body string")
+    got = lookalike.same_look_groups(lookalike.same_look_keys(df, ["title", "body"], "row_id")).collect()
+    assert sorted((r.group_id, r.row_id, r.variant_id) for r in got) == [(0, i, i % 2) for i in range(300)]
+
+
 def test_same_look_pairs(spark):
     rows = [(1, "ab", None), (2, "a​b", ""), (3, "ab", ""), (4, "AB", ""), (5, None, None), (5, None, None)]
     df = spark.createDataFrame(rows, "row_id long, title string, body string").withColumn("f1", F.lit(0))
