@@ -5,10 +5,11 @@ log, trace, table, code or package list, links, short phrases in a list, few wor
 as prose (records are part of it), link list, tag list or menu. A page is flagged where more than half of its words stand in pieces
 that aren't prose; a menu counts where its lines repeat each other or the page's own words.
 
-The transition and emission tables start from the fixed ones below and are fitted by one round of Viterbi training over all pages: the counts are
-added with the same total weight as the fixed tables, at any corpus size.
+What the signs need to know of languages and hosts is counted over all pages first: the words that stand in sentences (lines that end as sentences do) more often than in
+other lines, and the top-level names of explicit links. No word list of a language is fixed; scripts written without spaces count as sentences by the length of their runs.
+The transition and emission tables start from a rough guess and are fitted by rounds of Viterbi training over all pages; the guess keeps a tenth of the weight, at any corpus size.
 
-Nulls: a null or empty text has no words and is no case; pages under `least` words are no cases. Repeated rows are each reported. Empty tables give no
+Nulls: a null or empty text has no words and is no case; pages under `least` words are no cases (very short pages are none by definition). Repeated rows are each reported. Empty tables give no
 rows. Extra columns are not read.
 """
 
@@ -45,22 +46,8 @@ MOVE = (
 )
 FIRST = (0.85, 0.05, 0.05, 0.05)
 
-# Words that carry grammar and no topic, by language (English, German, French, Spanish, Polish, Russian, Korean).
-GRAMMAR = frozenset(
-    """a an the and or but of to in on at by for from with without into over after before until when while as than then so that this these those it its is are
-    was were be been has have had do does did can cannot could would should will may must not no never always if unless although because we you he she they i our your
-    my their his her how what why which who where there here only even still once again more most about each every any both
-    der die das ein eine einer einem einen und oder aber in im am an auf aus bei mit nach von vor zu zum zur für über unter durch nicht kein keine ist sind war wird
-    werden hat haben kann können lässt sich ich wir sie er es wie was wo wenn weil dass seit jede jeder jedes noch nur auch
-    le la les un une des du de et ou mais dans sur sous par pour avec sans près est sont a ont été ne pas que qui où quand comment si chaque aucun depuis très n l d
-    el los las un una y o pero en con sin por para según desde después del al ya no está es son fue ha cómo donde cuando si también más se lo
-    i w we z ze na do od po przez dla nie się jest są był jak gdzie kiedy czy żeby zanim każdą każdy już tylko
-    и в во на с со к по до от из за у о об не ни что как чтобы где когда если это он она они мы вы я же ещё всё после снова каждую справа
-    이 가 은 는 을 를 에 의 와 과 에서 으로 로 후 이후 번""".split()
-)
+KEPT, ROUNDS = 0.1, 3  # share of the guess in a fitted table, and rounds of training
 
-_LINK = re.compile(r"(?:(?:https?|hxxps?|ftp)\W{0,3}:?//|//(?=[\w-]+\.)|\bwww\.)[^\s<>\"')\]]+|\b(?:[a-z0-9][a-z0-9-]*(?:\[?\.\]?|\(dot\)))+(?:test|example|invalid|localhost|com|org|net|info|biz|io|de|ru|fr|es|pl|jp|kr|uk|eu|co|shop|site|online)\b(?:/[^\s<>\"')\]]*)?|[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.I)
-_DOTTED = re.compile(r"www\.|[\]).]\W?(?:test|example|invalid|localhost|com|org|net|info|biz|io|de|ru|fr|es|pl|jp|kr|uk|eu|co|shop|site|online)\b", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"</?[a-z]\w*|\bhref\b|/a>", re.I)
 _SEPARATOR = re.compile("[,;|/•·>、，-]$|^[#–—]")
@@ -70,7 +57,23 @@ _RECORD = re.compile(
 )
 _PACKAGE = re.compile(r"\s*(?:[-*] )?[\w.+@/-]+(?:\s*(?:==|>=|~=|@|[:=])\s*|\s+)v?\d+\.\d+[\w.+-]*\b.{0,40}$")
 _LEET = str.maketrans("01345678@$", "oieasgtbas")
-_KANA = re.compile("[\u3040-\u309f]")
+_FLOW = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]{4,}")  # scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han
+
+
+class Lexicon:
+    """What was counted over the corpus: words of sentences, and expressions for links by the top-level names of explicit ones."""
+
+    def __init__(self, words: frozenset[str] = frozenset(), tops: tuple[str, ...] = ()):
+        self.words, self.tops = words, tops
+        top = "|".join(sorted(map(re.escape, tops), key=lambda x: (-len(x), x))) or "(?!)"
+        self.link = re.compile(rf"(?:(?:[a-z]{{3,6}})\W{{0,3}}:?//|//(?=[\w-]+\.)|\bwww\.)[^\s<>\"')\]]+|\b(?:[a-z0-9][a-z0-9-]*(?:\[?\.\]?|\(dot\)))+(?:{top})\b(?:/[^\s<>\"')\]]*)?|[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.I)
+        self.dotted = re.compile(rf"www\.|[\]).]\W?(?:{top})\b", re.I)
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "tops": self.tops}
+
+    def __setstate__(self, s: dict) -> None:
+        self.__init__(s["words"], s["tops"])
 
 
 def stem(w: str) -> str:
@@ -83,23 +86,24 @@ def stem(w: str) -> str:
     return w[:5]
 
 
-def token(x: str) -> tuple[int, int, tuple[str, ...], int, int, int, int]:
-    """Of one token between spaces: words, links, stems of its topic words, grammar words, separator after it (2: a hash tag), end of a sentence, hiragana."""
+def token(x: str, known: Lexicon) -> tuple[int, int, tuple[str, ...], int, int, int, int]:
+    """Of one token between spaces: words, links, stems of its topic words, sentence words, separator after it (2: a hash tag), end of a sentence, letters in runs without spaces."""
     n = len(_WORD.findall(x))
     links = 0
     bare = x
-    if "//" in x or "@" in x or "." in x[:-1] and _DOTTED.search(x):
-        bare, links = _LINK.subn(" ", x)
+    if "//" in x or "@" in x or "." in x[:-1] and known.dotted.search(x):
+        bare, links = known.link.subn(" ", x)
     if "<" in x or "href" in x:
         bare = _MARK.sub(" ", bare)
     topics, grammar = [], 0
     for w in _WORD.findall(bare):
-        if w.lower() in GRAMMAR:
+        if w.lower() in known.words:
             grammar += 1
         elif not w.isdigit():
             topics.append(stem(w))
     tag = x[0] == "#" and len(x) > 1 and x[1].isalpha()
-    return n, links, tuple(topics), grammar, 2 if tag else int(bool(_SEPARATOR.search(x))), int(x[-1] in ".!?。" and not links), len(_KANA.findall(x))
+    flow = 0 if x.isascii() else sum(map(len, _FLOW.findall(x)))
+    return n, links, tuple(topics), grammar, 2 if tag else int(bool(_SEPARATOR.search(x))), int(x[-1] in ".!?。？！" and not links), flow
 
 
 def pieces(tokens: list[str], info: list[tuple], size: int = 24) -> Iterator[tuple[int, int]]:
@@ -116,12 +120,12 @@ def pieces(tokens: list[str], info: list[tuple], size: int = 24) -> Iterator[tup
         yield at, len(tokens)
 
 
-def sign(line: str, whole: bool, info: list[tuple], often: Counter, many: float, total: int) -> tuple[int, int, float]:
-    """(sign, words, share of the topic words that fill the page). often: the page's stems with their counts, many: the count that fills it."""
+def sign(line: str, whole: bool, info: list[tuple], often: Counter, many: float, total: int, round_: bool) -> tuple[int, int, float]:
+    """(sign, words, share of the topic words that fill the page). often: the page's stems with their counts, many: the count that fills it, round_: whether its stems come again and again, however many they are."""
     n = sum(x[0] for x in info)
     if not n:
         return 6, 0, 0.0
-    links = grammar = seps = tags = kana = 0
+    links = grammar = seps = tags = flow = 0
     topics: list[str] = []
     for x in info:
         links += x[1]
@@ -129,7 +133,7 @@ def sign(line: str, whole: bool, info: list[tuple], often: Counter, many: float,
         grammar += x[3]
         seps += x[4] > 0
         tags += x[4] == 2
-        kana += x[6]
+        flow += x[6]
     t = len(topics)
     heavy = sum(often[w] >= many for w in topics) / t if t else 0.0
     if links and t + grammar <= 6 * links and grammar < max(2, 0.2 * (t + grammar)):
@@ -139,9 +143,11 @@ def sign(line: str, whole: bool, info: list[tuple], often: Counter, many: float,
     variety = len(set(topics)) / t if t else 1.0
     if whole and _RECORD.match(line):
         return 1, n, heavy
-    if t >= 6 and heavy >= 0.5 and variety < 0.75 or t >= 2 and heavy >= 0.75 and total > 30 and kana < 4:
+    if t >= 6 and heavy >= 0.5 and variety < 0.75 and grammar < 0.25 * (t + grammar) or t >= 2 and heavy >= 0.75 and total > 30 and flow < 8:
         return 4, n, heavy
-    if kana >= 4 or grammar >= 2 and grammar >= 0.12 * (t + grammar) or grammar and t + grammar <= 6 and info[-1][5]:
+    if round_ and t >= 6 and not grammar and not flow and all(often[w] >= 4 for w in topics):
+        return 4, n, heavy
+    if flow >= 8 or grammar >= 2 and grammar >= 0.12 * (t + grammar) or grammar and t + grammar <= 6 and info[-1][5]:
         return 0, n, heavy
     if whole and (_PACKAGE.match(line) or line.rstrip()[-1:] in "{};"):
         return 1, n, heavy
@@ -156,9 +162,17 @@ def log_table(rows) -> list[list[float]]:
     return [[math.log(x) for x in r] for r in rows]
 
 
-def viterbi(signs: list[int], words: list[int], model: tuple) -> list[int]:
-    """The likeliest states; a piece speaks as loud as it is long, as half a line to six lines of eight words."""
-    if max(signs) < 2:  # sentences and records are likeliest as prose in every table
+def plain_signs(model: tuple) -> int:
+    """How many of the first signs are surely prose on a page that shows no other: none of their states, beginnings or moves beats prose."""
+    first, move, emit = model
+    if max(first) > first[0] or max(max(r) for r in move) > move[0][0]:
+        return 0
+    return next((x for x in range(len(SIGNS)) if max(e[x] for e in emit) > emit[0][x]), len(SIGNS))
+
+
+def viterbi(signs: list[int], words: list[int], model: tuple, plain: int = 0) -> list[int]:
+    """The likeliest states; a piece speaks as loud as it is long, as half a line to six lines of eight words. plain: see plain_signs()."""
+    if max(signs) < plain:
         return [0] * len(signs)
     first, move, emit = model
     loud = [min(6.0, max(0.5, n / 8)) for n in words]
@@ -182,16 +196,20 @@ START = ([math.log(x) for x in FIRST], log_table(MOVE), log_table(EMIT))
 
 
 class _Known(dict):
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
     def __missing__(self, x: str) -> tuple:
-        self[x] = v = token(x)
+        self[x] = v = token(x, self.lexicon)
         return v
 
 
 class Observer:
     """Signs, word counts and repetition of the pieces of a page; what is known of a token is kept, up to a bound."""
 
-    def __init__(self):
-        self.form, self.known = ConsistentForm(), _Known()
+    def __init__(self, lexicon: Lexicon):
+        self.form, self.known = ConsistentForm(), _Known(lexicon)
 
     def __call__(self, text: str) -> tuple[list[int], list[int], list[float]]:
         known = self.known
@@ -204,15 +222,15 @@ class Observer:
                 lines.append((line, tokens, [known[x] for x in tokens]))
         every = [w for x in lines for i in x[2] for w in i[2]]
         total, often = len(every), Counter(every)
-        many = max(4.0, 0.05 * total)
+        many, round_ = max(4.0, 0.05 * total), total >= 8 * max(1, len(often))
         signs, words, heavy, run = [], [], [], 0
         for line, tokens, info in lines:
             for a, b in pieces(tokens, info):
-                s, n, h = sign(line, b - a == len(tokens), info[a:b], often, many, total)
+                s, n, h = sign(line, b - a == len(tokens), info[a:b], often, many, total, round_)
                 if n:
                     signs.append(s), words.append(n), heavy.append(h)
-                    # names one a line: a run of short lines without grammar or an end is a list
-                    run = run + 1 if s == 5 and not info[b - 1][5] and not any(x[3] for x in info[a:b]) else 0
+                    # names one a line: a run of lines of few words, without a sentence word or an end, is a list
+                    run = run + 1 if s == 5 and n <= 4 and not info[b - 1][5] and not any(x[3] for x in info[a:b]) else 0
                     if run == RUN:
                         signs[-RUN:] = [3] * RUN
                     elif run > RUN:
@@ -220,21 +238,37 @@ class Observer:
         return signs, words, heavy
 
 
-def label(signs: list[int], n: list[int], heavy: list[float], model: tuple = START) -> tuple[int, dict[str, int]]:
+def label(signs: list[int], n: list[int], heavy: list[float], model: tuple = START, plain: int = 0) -> tuple[int, dict[str, int]]:
     """(words, words under each state); a menu whose words don't fill the page is prose."""
     out = dict.fromkeys(STATES, 0)
     if not signs:
         return 0, out
-    for s, w, h in zip(viterbi(signs, n, model), n, heavy, strict=True):
+    for s, w, h in zip(viterbi(signs, n, model, plain), n, heavy, strict=True):
         out[STATES[s if s != 3 or h > 0.5 else 0]] += w
     return sum(n), out
 
 
-def observed(df: DataFrame, key: str, text: str) -> DataFrame:
+def lexicon(df: DataFrame, text: str, scratch: Scratch, most: int = 3000, odds: float = 0.9) -> Lexicon:
+    """Counted over all pages, in the JVM. Words of sentences: those whose share among the words of lines that end as sentences do is above that among the other lines' (by 1 / odds); the
+    `most` most frequent, which bounds what is handed out. Top-level names: last labels of the hosts of explicit links that stand there twice (at most 500)."""
+    lines = df.select(F.explode(F.split(F.lower(F.col(text).cast("string")), "\n")).alias("x")).filter("x <> ''")
+    words = F.regexp_extract_all("x", F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
+    n, end, link = F.size("w"), F.col("x").rlike(r"[.!?。？！]\s*$"), F.col("x").rlike(r"//|www\.|@")
+    cuts = F.length(F.regexp_replace("x", r"[^,;|/•·>]", ""))
+    rows = lines.select("x", words.alias("w")).select("w", ((n >= 5) & end & ~link & (cuts * 4 <= n)).alias("p"), (~end | (cuts * 3 > n)).alias("q"))
+    counts = scratch.keep(rows.select(F.explode("w").alias("w"), F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q")).groupBy("w").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
+    all_ = counts.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    known = counts.filter((F.col("p") >= max(2.0, 1e-5 * (all_.p or 0))) & ((F.col("q") + 0.5) / ((all_.q or 0) + 1) < odds * (F.col("p") + 0.5) / ((all_.p or 0) + 1)))
+    host = F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(r"(?:[a-z]{3,6}:)?(?://|\bwww\.)(?:[\w-]+\.)+([a-z]{2,18})(?![\w.-])"), F.lit(1))
+    tops = df.select(F.explode(host).alias("t")).groupBy("t").agg(F.count("*").alias("m")).filter("m > 1").orderBy(F.desc("m"), "t").limit(500)
+    return Lexicon(frozenset(r.w for r in known.orderBy(F.desc("p"), "w").limit(most).select("w").collect()), tuple(sorted(r.t for r in tops.collect())))
+
+
+def observed(df: DataFrame, key: str, text: str, known: Lexicon) -> DataFrame:
     """key and, for each page, signs (bytes), words and fill of its pieces: all that the model needs of a page."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ob = Observer()
+        ob = Observer(known)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 c = b.slice(at, 1000)
@@ -245,8 +279,9 @@ def observed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).cast("string")).mapInArrow(work, f"key {df.schema[key].dataType.simpleString()}, signs binary, words array<int>, fill binary")
 
 
-def fitted(pages: DataFrame) -> tuple:
-    """The tables after one round of Viterbi training over all observed pages. The counts are at most 48 numbers a task."""
+def trained(pages: DataFrame, model: tuple) -> tuple:
+    """The tables after a round of Viterbi training over all observed pages with `model`. The counts are at most 48 numbers a task."""
+    plain = plain_signs(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
@@ -254,7 +289,7 @@ def fitted(pages: DataFrame) -> tuple:
             for signs, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if signs:
                     signs = list(signs)
-                    path = viterbi(signs, words, START)
+                    path = viterbi(signs, words, model, plain)
                     c["f", path[0], 0] += 1
                     c.update(("e", s, x) for s, x in zip(path, signs, strict=True))
                     c.update(("m", s, x) for s, x in zip(path, path[1:], strict=False))
@@ -263,26 +298,31 @@ def fitted(pages: DataFrame) -> tuple:
     rows = pages.select("signs", "words").mapInArrow(work, "t string, i int, j int, n bigint").groupBy("t", "i", "j").agg(F.sum("n").alias("n")).collect()
     n = {(r.t, r.i, r.j): r.n for r in rows}
 
-    def table(kind: str, fixed) -> list[list[float]]:
-        out = []
-        for i, row in enumerate(fixed):
-            all_ = sum(n.get((kind, i, j), 0) for j in range(len(row)))
-            out.append([0.5 * x + 0.5 * n.get((kind, i, j), 0) / all_ if all_ else x for j, x in enumerate(row)])
-        return out
+    def row(fixed, counts: list[int]) -> list[float]:
+        seen = sum(counts)
+        return [math.log(KEPT * x + (1 - KEPT) * m / seen if seen else x) for x, m in zip(fixed, counts, strict=True)]
+
+    table = lambda kind, fixed: [row(r, [n.get((kind, i, j), 0) for j in range(len(r))]) for i, r in enumerate(fixed)]
+    return row(FIRST, [n.get(("f", i, 0), 0) for i in range(4)]), table("m", MOVE), table("e", EMIT)
+
 
-    seen = sum(n.get(("f", i, 0), 0) for i in range(4))
-    first = [0.5 * x + 0.5 * n.get(("f", i, 0), 0) / seen if seen else x for i, x in enumerate(FIRST)]
-    return [math.log(x) for x in first], log_table(table("m", MOVE)), log_table(table("e", EMIT))
+def fitted(pages: DataFrame, rounds: int = ROUNDS) -> tuple:
+    model = START
+    for _ in range(rounds):
+        model = trained(pages, model)
+    return model
 
 
 def label_pages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 20, more_than: float = 0.5) -> DataFrame:
     """key, words, prose, links, tags, menu (words under each), share (of words outside prose), stuffed."""
-    pages = Scratch(df.sparkSession, "stuffing").keep(observed(df, key, text))
+    scratch = Scratch(df.sparkSession, "stuffing")
+    pages = scratch.keep(observed(df, key, text, lexicon(df, text, scratch)))
     model = fitted(pages)
+    plain = plain_signs(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [label(list(s), w, f, model) for s, w, f in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True)]
+            rows = [label(list(s), w, f, model, plain) for s, w, f in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True)]
             n = [r[0] for r in rows]
             share = [1 - r[1]["prose"] / r[0] if r[0] else 0.0 for r in rows]
             cols = [pa.array(n, pa.int64()), *[pa.array([r[1][s] for r in rows], pa.int64()) for s in STATES], pa.array(share, pa.float64()), pa.array([m >= least and s > more_than for m, s in zip(n, share, strict=True)], pa.bool_())]

@@ -382,3 +382,32 @@ def test_stuffed_pages(spark):
     got = {r.doc_id for r in stuffing.label_pages(df).filter("stuffed").collect()}
     assert got == {3, 4, 5}
     assert stuffing.label_pages(df.limit(0)).count() == 0
+
+
+def test_pages_of_other_languages(spark):
+    """Prose and verse that the fit has never seen are no cases; lists of their words are."""
+    prose = {
+        "fi": "Sivu kertoo miten tunnus luetaan ja miksi se vanhenee. Jos palvelin ei vastaa, asiakas odottaa hetken ja yrittää uudelleen. Tiedosto jää levylle eikä sitä poisteta. Vanha versio toimi ilman tätä asetusta, mutta uusi ei.",
+        "tr": "Bu sayfa belirtecin nasıl okunduğunu ve neden eskidiğini anlatır. Sunucu yanıt vermezse istemci biraz bekler ve yeniden dener. Dosya diskte kalır ve silinmez. Eski sürüm bu ayar olmadan çalışıyordu.",
+        "th": "หน้านี้อธิบายวิธีอ่านโทเค็นและเหตุผลที่มันหมดอายุ ถ้าเซิร์ฟเวอร์ไม่ตอบสนองไคลเอนต์จะรอสักครู่แล้วลองอีกครั้ง ไฟล์จะอยู่บนดิสก์และไม่ถูกลบออก\n" * 3,
+        "hi": "यह पृष्ठ बताता है कि टोकन कैसे पढ़ा जाता है और वह क्यों पुराना होता है। सर्वर उत्तर न दे तो ग्राहक थोड़ी देर रुकता है और फिर प्रयास करता है। फ़ाइल डिस्क पर रहती है और मिटाई नहीं जाती।",
+        "sw": "Ukurasa huu unaeleza jinsi tokeni inavyosomwa na kwa nini inaisha. Seva isipojibu, mteja husubiri kidogo na kujaribu tena. Faili hubaki kwenye diski wala haifutwi. Toleo la zamani lilifanya kazi bila mpangilio huu.",
+        "zh": "本页说明如何读取令牌以及它为什么会过期。如果服务器没有响应，客户端会稍等片刻再重试。文件保留在磁盘上，不会被删除。",
+    }
+    verse = "Slow rivers carry autumn leaves downstream\nbeneath a bridge of weathered stone\nwhere children once had built a dream\nand every echo sang alone\nthe evening gathers all its light\nin windows turning gold and red\nuntil the hills dissolve in night\nand nothing more is left unsaid\nyet morning finds the water clear\nwith silver threads along the sand\nas if the river waited here\nto lay the daylight in my hand"
+    keys = [f"{a}{b}" for a in ("gata", "veno", "rilo", "sumi", "pode", "laki") for b in ("tool", "card", "ware", "disk", "link")]
+    pages = [*prose.values(), verse, " ".join(keys * 20), ", ".join(["halpa ohjelma", "paras ajuri", "ilmainen lataus"] * 20), "\n".join(f"{a} {b}" for a in keys[:12] for b in ("max", "mini", "pro"))]
+    pages += ["\n".join(f"https://h{i}.shop/x/{i}" for i in range(30)), " ".join(f"h{i}.shop" for i in range(40))]
+    df = spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string")
+    got = {r.doc_id: r for r in stuffing.label_pages(df).collect()}
+    assert {i for i, r in got.items() if r.stuffed} == set(range(len(prose) + 1, len(pages))), [(i, r.words, round(r.share, 2)) for i, r in got.items()]
+
+
+def test_model_of_pages():
+    assert stuffing.plain_signs(stuffing.START) == 2
+    start = (stuffing.START[0], stuffing.START[1], [r[::-1] for r in stuffing.START[2]])
+    assert stuffing.plain_signs(start) < 2  # then every page is searched
+    r = random.Random(3)
+    for _ in range(200):
+        signs, words = [r.randrange(2) for _ in range(9)], [r.randrange(1, 40) for _ in range(9)]
+        assert stuffing.viterbi(signs, words, stuffing.START, 2) == stuffing.viterbi(signs, words, stuffing.START, 0)
