@@ -55,8 +55,9 @@ def near_duplicate_groups(df: DataFrame, key: str = "row_id", text: str = "text"
     scratch = Scratch(spark, "neardup")
     base = scratch.keep(numbered(run_sets(df, key, text, width)))
     copied = scratch.keep(copied_keys(base))
-    rows, _ = blocks(base, copied, t, scratch)
-    comp = scratch.keep(connected_components(each_batch(rows, lambda: LinkFinder(t), "a bigint, b bigint"), scratch))
+    rows, _, known = blocks(base, copied, t, scratch)
+    links = each_batch(rows, lambda: LinkFinder(t), "a bigint, b bigint")
+    comp = scratch.keep(connected_components(links.unionAll(known) if known else links, scratch))
     linked = only_in(base.select("id", "k"), *handed_out(spark, bloom(comp.select("node"))))
     of_set = scratch.keep(comp.join(linked, F.col("node") == F.col("id")).select("k", "component"))
     some = handed_out(spark, bloom(of_set.select("k").unionAll(copied.select("k"))))  # other rows stand alone

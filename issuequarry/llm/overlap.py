@@ -81,7 +81,7 @@ def split_overlaps(evals: dict[str, DataFrame], train: DataFrame, key: str = "ro
     names = sorted(evals)
     sides = [run_sets(evals[s], key, text, width, EVAL).withColumn("split", F.lit(i)) for i, s in enumerate(names)]
     base = scratch.keep(numbered(reduce(DataFrame.unionAll, [*sides, run_sets(train, key, text, width, TRAIN).withColumn("split", F.lit(-1))])))
-    rows, sketch = blocks(base, copied_keys(base), t, scratch, two_sided=True)
+    rows, sketch, _ = blocks(base, copied_keys(base), t, scratch, two_sided=True)
     links = scratch.keep(each_batch(rows, lambda: PairFinder(t, *sketch), "e bigint, t bigint").distinct())
     keys = scratch.keep(base.select("side", "split", "row_id", "id", "k"))
     linked = keys.select(F.col("id"), "k").join(links.select(F.col("e").alias("id")).unionAll(links.select("t")).distinct(), "id", "left_semi")

@@ -7,9 +7,9 @@ ordered from rare to frequent by a count sketch over all distinct sets. Two text
 An early dimension is sent to its block only if a second sketch knows another set that has it early too, at a size that can pair with
 this one. Both sketches may count too much and never too little: their collisions cost time and no pair.
 
-Cold dimensions form blocks directly; equal blocks are kept once. Hot ones (a third of all rows may share one) are cut into
-chunks of bounded size, and every two chunks meet in one task; hot runs that lead the same sets are joined to one family first, so that
-a boilerplate of many runs is walked once.
+Cold dimensions form blocks directly; equal blocks are kept once. Hot runs (a third of all rows may share one) that lead the same sets are joined to one family, so that
+a boilerplate of many runs is walked once. A self-join that looks for groups compares a large family with a few hubs first and then only what these leave; a join of two sides,
+which must find every pair, cuts it into chunks of bounded size, and every two chunks meet in one task.
 """
 
 from __future__ import annotations
@@ -520,21 +520,89 @@ def _lists(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["block", "ks", "ss"])
 
 
-def hot_blocks(early: DataFrame, chunk: int) -> DataFrame:
-    """(block, k, side, part): pairs of chunks of the sets that share a hot run. part 0 and 1: pairs across the two; part 2: pairs within.
-
-    Runs of one boilerplate lead the same sets, so each run joins the family of the run that is the owner of at least half of its sets, if there is one.
-    Two sets that share a run share its family; a set stands in a family once.
-    """
+def families(early: DataFrame) -> DataFrame:
+    """(family, k, side): the sets that share a hot run. Runs of one boilerplate lead the same sets, so each run joins the family of the run that is the owner of at least half of its
+    sets, if there is one. Two sets that share a run share its family; a set stands in a family once."""
     size = early.groupBy("tok", "owner").agg(F.count("*").alias("m"))
     family = size.groupBy("tok").agg(F.max_by("owner", "m").alias("o"), F.max("m").alias("most"), F.sum("m").alias("all")).select("tok", F.when(F.col("most") * 2 >= F.col("all"), F.col("o")).otherwise(F.col("tok")).alias("family"))
-    rows = early.select("tok", "k", "side").join(family, "tok").select("family", "k", "side").distinct()
+    return early.select("tok", "k", "side").join(family, "tok").select("family", "k", "side").distinct()
+
+
+def hot_blocks(rows: DataFrame, chunk: int) -> DataFrame:
+    """(block, k, side, part): pairs of chunks of each family. part 0 and 1: pairs across the two; part 2: pairs within."""
     chunks = rows.groupBy("family").agg(F.count("*").alias("m")).filter("m > 1").select("family", F.ceil(F.col("m") / chunk).cast("int").alias("c"))
     mine = rows.join(chunks, "family").withColumn("me", F.pmod(F.xxhash64("k"), F.col("c")).cast("int")).select("family", "k", "side", "me", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
     block = F.xxhash64("family", F.least("me", "other"), F.greatest("me", "other"))
     return mine.select(block.alias("block"), "k", "side", F.when(F.col("me") == F.col("other"), F.lit(2)).otherwise((F.col("me") > F.col("other")).cast("int")).alias("part"))
 
 
+class HubFinder:
+    """(block, set, hub) of the sets (part 1) of each block that reach t with a hub (part 0): the first such hub, but every one for a set that is a hub itself."""
+
+    def __init__(self, t: float):
+        self.t = t
+
+    def __call__(self, b: Batch) -> list[np.ndarray]:
+        c, out = (1 - self.t) / (1 + self.t), []
+        for x in np.unique(b.block).tolist():
+            here = np.flatnonzero(b.block == x)
+            hubs, sets = here[b.part[here] == 0], here[b.part[here] == 1]
+            is_hub = np.isin(b.k[sets], b.k[hubs])
+            done = np.zeros(len(sets), bool)
+            for h in hubs.tolist():
+                far = np.bitwise_count(b.v[sets] ^ b.v[h]).sum(axis=1, dtype=np.int64)
+                for i in np.flatnonzero((far <= c * (b.n[sets] + b.n[h]) + 1e-9) & ~(done & ~is_hub)).tolist():
+                    both = len(np.intersect1d(b.runs(sets[i]), b.runs(h), assume_unique=True))
+                    if both >= self.t * (b.n[sets[i]] + b.n[h] - both) - 1e-9:
+                        done[i] = True
+                        out.append((int(b.name[h]), int(b.k[sets[i]]), int(b.k[h])))
+        return [np.array([o[i] for o in out], np.int64) for i in range(3)]
+
+
+def _classes(t: pa.Table) -> pa.Table:
+    """Hubs of one family (at most HUBS squared rows) with the least hub that they are joined to."""
+    a, b = t.column("k").to_numpy(), t.column("hub").to_numpy()
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label = np.arange(len(ids))
+    joined(label, at[: len(a)], at[len(a) :])
+    return pa.table({"family": pa.array([t.column("family")[0].as_py()] * len(ids), pa.int64()), "hub": pa.array(ids, pa.int64()), "class": pa.array(ids[label], pa.int64())})
+
+
+HUBS = 8
+
+
+def hub_blocks(rows: DataFrame, sets: DataFrame, t: float, chunk: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(block, k, side, part) of the pairs of a family that a self-join has still to look at, and verified links (a, b).
+
+    Of a family beyond one chunk every set is compared with a few hubs, sets of the family taken by hash. Sets that reach the same hub, or hubs that reach each other, are linked, so pairs among them
+    need no look, and the work is in proportion to the family. What is left are pairs with a set outside the largest class: those sets' chunks meet all chunks.
+    """
+    size = rows.groupBy("family").agg(F.count("*").alias("m"))
+    wide = size.filter(F.col("m") > chunk)
+    one = rows.join(size.filter(F.col("m").between(2, chunk)), "family").select(F.xxhash64("family").alias("block"), "k", "side", F.lit(2).alias("part"))
+    if wide.isEmpty():
+        return one, None
+    big = scratch.keep(rows.join(wide, "family").withColumn("c", F.ceil(F.col("m") / chunk).cast("int")).withColumn("me", F.pmod(F.xxhash64("k"), F.col("c")).cast("int")))
+    least = [F.min(F.struct(F.xxhash64(F.lit(j), F.col("k")).alias("h"), F.col("k").alias("k")))["k"] for j in range(HUBS)]
+    hubs = scratch.keep(big.groupBy("family").agg(F.array_distinct(F.array(*least)).alias("x"), F.first("c").alias("c"), F.first("side").alias("side")).select("family", "c", "side", F.explode("x").alias("k")))
+    block = F.xxhash64("family", "me")
+    near = hubs.withColumn("me", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(block.alias("block"), F.lit(0).alias("part"), "side", "k").unionAll(big.select(block.alias("block"), F.lit(1).alias("part"), "side", "k"))
+    hit = only_in(sets, *handed_out(sets.sparkSession, bloom(big.select("k")))).select("k", "sh")
+    found = scratch.keep(each_batch(near.join(hit, "k").select("block", "part", "side", "k", "sh"), lambda: HubFinder(t), "block bigint, k bigint, hub bigint"))
+    of = found.join(big.select(block.alias("block"), "family").distinct(), "block").select("family", "k", "hub")
+    classes = of.join(hubs.select("family", "k"), ["family", "k"], "left_semi").groupBy("family").applyInArrow(_classes, "family bigint, hub bigint, class bigint")
+    mine = scratch.keep(of.join(classes, ["family", "hub"]).groupBy("family", "k").agg(F.min("class").alias("class")))
+    main = mine.groupBy("family", "class").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("class", F.struct("n", "class")).alias("class"))
+    rest = scratch.keep(big.join(mine.join(main, ["family", "class"], "left_semi"), ["family", "k"], "left_anti"))
+    few = rest.groupBy("family").agg(F.count("*").alias("u")).select("family", F.ceil(F.col("u") / chunk).cast("int").alias("d"))
+    pair = F.xxhash64("family", "i", "me")
+    left = rest.join(few, "family").withColumn("i", F.pmod(F.xxhash64(F.lit(1), F.col("k")), F.col("d")).cast("int")).withColumn("me", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    right = big.join(few, "family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d") - 1)))
+    cols = ["k", "side"]
+    more = left.select(pair.alias("block"), *cols, F.lit(0).alias("part")).unionAll(right.select(pair.alias("block"), *cols, F.lit(1).alias("part")))
+    return one.unionAll(more), found.filter("k <> hub").select(F.col("hub").alias("a"), F.col("k").alias("b"))
+
+
 def bloom(keys: DataFrame, most_bits: int = 26) -> tuple[bytes, int]:
     """A bitmap of hashed 64-bit keys (one column), of 16 bits a key up to 2^most_bits bits (8 MB), which bounds what the driver gets and hands out."""
     bits = min(most_bits, max(16, math.ceil(math.log2(16 * keys.count() + 1))))
@@ -578,8 +646,8 @@ def only_in(df: DataFrame, bitmap, bits: int, inside: bool = True) -> DataFrame:
     return df.mapInArrow(work, df.schema)
 
 
-def blocks(base: DataFrame, copied: DataFrame, t: float, scratch: Scratch, two_sided: bool = False, chunk: int = 1024, hot_count: int = 512) -> tuple[DataFrame, tuple]:
-    """(block, part, side, k, sh) of all candidate blocks, and the broadcast sketch with its bits."""
+def blocks(base: DataFrame, copied: DataFrame, t: float, scratch: Scratch, two_sided: bool = False, chunk: int = 1024, hot_count: int = 512) -> tuple[DataFrame, tuple, DataFrame | None]:
+    """(block, part, side, k, sh) of all candidate blocks, the broadcast sketch with its bits, and links (a, b) that need no block."""
     spark: SparkSession = base.sparkSession
     sets = distinct_sets(base, copied, scratch)
     total = base.agg(F.sum("n")).first()[0] or 0
@@ -588,7 +656,12 @@ def blocks(base: DataFrame, copied: DataFrame, t: float, scratch: Scratch, two_s
     partners, own = handed_out(spark, partner_sketch(sets, sketch, bits, t, math.ceil((1 - t) * total)))
     hot = int(level_of(hot_count))
     early = lambda warm: early_runs(sets, sketch, bits, partners, own, t, hot, warm, two_sided)
-    cold, warm = cold_blocks(early(False), t, two_sided, scratch), hot_blocks(scratch.keep(early(True)), chunk)
+    hot_rows, links = scratch.keep(families(scratch.keep(early(True)))), None
+    if two_sided:
+        warm = hot_blocks(hot_rows, chunk)
+    else:
+        warm, links = hub_blocks(hot_rows, sets, t, chunk, scratch)
+    cold = cold_blocks(early(False), t, two_sided, scratch)
     found = scratch.keep(cold.select("block", "part", "k", "side").unionAll(warm.select("block", "part", "k", "side")))
     partners.destroy()  # nothing that is still to be computed reads it
     some = only_in(sets, *handed_out(spark, bloom(found.select("k"))))
@@ -596,7 +669,7 @@ def blocks(base: DataFrame, copied: DataFrame, t: float, scratch: Scratch, two_s
     lists = each_batch(rows, lambda: ListFinder(t, two_sided), "block bigint, least bigint, k bigint, side int", VectorBatch, most_rows=20_000).distinct()
     last = scratch.keep(gathered_lists(lists, scratch))
     needed = only_in(sets, *handed_out(spark, bloom(last.select("k")))).select("k", "sh")
-    return last.join(needed, "k").select("block", F.lit(2).alias("part"), "side", "k", "sh"), (sketch, bits)
+    return last.join(needed, "k").select("block", F.lit(2).alias("part"), "side", "k", "sh"), (sketch, bits), links
 
 
 def handed_out(spark: SparkSession, x: tuple[bytes, int]) -> tuple:
