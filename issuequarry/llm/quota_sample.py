@@ -118,8 +118,8 @@ def draw(df: DataFrame, plans: DataFrame, category: str = "canonical_label", uni
     scratch = Scratch(spark, "quota")
     part = clean_name(F.col(stratum))
     names_of = df.select(part.alias("r")).groupBy("r").agg(F.count("*").alias("m"))
-    total = names_of.agg(F.sum("m").alias("t"))  # one row
-    large = names_of.crossJoin(total).filter((F.col("m") * own >= F.col("t")) & F.col("r").isNotNull())
+    total = names_of.agg(F.sum("m")).first()[0] or 0
+    large = names_of.filter((F.col("m") * own >= total) & F.col("r").isNotNull())
     number = {r.r: i for i, r in enumerate(large.orderBy("r").select("r").collect())}  # at most `own` names
     known = F.create_map(*[F.lit(x) for kv in number.items() for x in kv])[part] if number else F.lit(None).cast("int")
     of = F.when(part.isNull(), F.lit(-1)).otherwise(F.coalesce(known, F.pmod(F.xxhash64(part), F.lit(strata)) + own)).cast("int")

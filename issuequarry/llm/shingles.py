@@ -529,11 +529,15 @@ def families(early: DataFrame) -> DataFrame:
 
 
 def hot_blocks(rows: DataFrame, chunk: int) -> DataFrame:
-    """(block, k, side, part): pairs of chunks of each family. part 0 and 1: pairs across the two; part 2: pairs within."""
-    chunks = rows.groupBy("family").agg(F.count("*").alias("m")).filter("m > 1").select("family", F.ceil(F.col("m") / chunk).cast("int").alias("c"))
-    mine = rows.join(chunks, "family").withColumn("me", F.pmod(F.xxhash64("k"), F.col("c")).cast("int")).select("family", "k", "side", "me", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-    block = F.xxhash64("family", F.least("me", "other"), F.greatest("me", "other"))
-    return mine.select(block.alias("block"), "k", "side", F.when(F.col("me") == F.col("other"), F.lit(2)).otherwise((F.col("me") > F.col("other")).cast("int")).alias("part"))
+    """(block, k, side, part): every chunk of one side of a family with every chunk of the other. Families of one side only need no look."""
+    n = rows.groupBy("family").agg(F.ceil(F.count_if(F.col("side") % 2 == 1) / chunk).cast("int").alias("c1"), F.ceil(F.count_if(F.col("side") % 2 == 0) / chunk).cast("int").alias("c0")).filter("c1 > 0 and c0 > 0")
+    out = None
+    for side, own, other in ((1, "c1", "c0"), (0, "c0", "c1")):
+        mine = rows.filter(F.col("side") % 2 == side).join(n, "family").withColumn("me", F.pmod(F.xxhash64("k"), F.col(own)).cast("int")).withColumn("you", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        pair = ("me", "you") if side else ("you", "me")
+        mine = mine.select(F.xxhash64("family", *pair).alias("block"), "k", "side", F.lit(2).alias("part"))
+        out = mine if out is None else out.unionAll(mine)
+    return out
 
 
 class HubFinder:

@@ -248,20 +248,53 @@ def label(signs: list[int], n: list[int], heavy: list[float], model: tuple = STA
     return sum(n), out
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+_HOST = re.compile(r"(?:[a-z]{3,6}:)?(?://|\bwww\.)(?:[\w-]+\.)+([a-z]{2,18})(?![\w.-])")
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, w, p, q): of words (kind 0) how often they stand in lines that end as sentences do, and in other lines and lists; of top-level names (kind 1) how often they end an explicit host.
+    Tokens are counted as they are and cut into words once each; a task holds some hundred thousand."""
+    inside, outside, tops = Counter(), Counter(), Counter()
+
+    def flush() -> pa.RecordBatch:
+        words: dict[str, list[int]] = {}
+        for i, counts in enumerate((inside, outside)):
+            for token_, m in counts.items():
+                for w in _LETTERS.findall(token_):
+                    words.setdefault(w, [0, 0])[i] += m
+        cols = [[0] * len(words) + [1] * len(tops), [*words, *tops], [*(x[0] for x in words.values()), *tops.values()], [*(x[1] for x in words.values()), *[0] * len(tops)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["kind", "w", "p", "q"])
+
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            for line in (text or "").lower().split("\n"):
+                tokens = line.split()
+                if not tokens:
+                    continue
+                n, end, cuts = len(tokens), tokens[-1][-1] in ".!?。？！", sum(map(line.count, ",;|/•·>"))
+                link = "//" in line or "www." in line or "@" in line
+                if link:
+                    tops.update(_HOST.findall(line))
+                elif n >= 5 and end and cuts * 4 <= n:
+                    inside.update(tokens)
+                if not end or cuts * 3 > n:
+                    outside.update(tokens)
+            if len(inside) + len(outside) > 400_000:
+                yield flush()
+                inside, outside, tops = Counter(), Counter(), Counter()
+    yield flush()
+
+
 def lexicon(df: DataFrame, text: str, scratch: Scratch, most: int = 3000, odds: float = 0.9) -> Lexicon:
-    """Counted over all pages, in the JVM. Words of sentences: those whose share among the words of lines that end as sentences do is above that among the other lines' (by 1 / odds); the
+    """Counted over all pages. Words of sentences: those whose share among the words of lines that end as sentences do is above that among the other lines' (by 1 / odds); the
     `most` most frequent, which bounds what is handed out. Top-level names: last labels of the hosts of explicit links that stand there twice (at most 500)."""
-    lines = df.select(F.explode(F.split(F.lower(F.col(text).cast("string")), "\n")).alias("x")).filter("x <> ''")
-    words = F.regexp_extract_all("x", F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
-    n, end, link = F.size("w"), F.col("x").rlike(r"[.!?。？！]\s*$"), F.col("x").rlike(r"//|www\.|@")
-    cuts = F.length(F.regexp_replace("x", r"[^,;|/•·>]", ""))
-    rows = lines.select("x", words.alias("w")).select("w", ((n >= 5) & end & ~link & (cuts * 4 <= n)).alias("p"), (~end | (cuts * 3 > n)).alias("q"))
-    counts = scratch.keep(rows.select(F.explode("w").alias("w"), F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q")).groupBy("w").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
-    all_ = counts.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
-    known = counts.filter((F.col("p") >= max(2.0, 1e-5 * (all_.p or 0))) & ((F.col("q") + 0.5) / ((all_.q or 0) + 1) < odds * (F.col("p") + 0.5) / ((all_.p or 0) + 1)))
-    host = F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(r"(?:[a-z]{3,6}:)?(?://|\bwww\.)(?:[\w-]+\.)+([a-z]{2,18})(?![\w.-])"), F.lit(1))
-    tops = df.select(F.explode(host).alias("t")).groupBy("t").agg(F.count("*").alias("m")).filter("m > 1").orderBy(F.desc("m"), "t").limit(500)
-    return Lexicon(frozenset(r.w for r in known.orderBy(F.desc("p"), "w").limit(most).select("w").collect()), tuple(sorted(r.t for r in tops.collect())))
+    counts = df.select(F.col(text).cast("string")).mapInArrow(count_words, "kind int, w string, p bigint, q bigint").groupBy("kind", "w").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = scratch.keep(counts)
+    all_ = counts.filter("kind = 0").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    known = counts.filter((F.col("kind") == 0) & (F.col("p") >= max(2.0, 1e-5 * (all_.p or 0))) & ((F.col("q") + 0.5) / ((all_.q or 0) + 1) < odds * (F.col("p") + 0.5) / ((all_.p or 0) + 1)))
+    tops = counts.filter("kind = 1 and p > 1").orderBy(F.desc("p"), "w").limit(500)
+    return Lexicon(frozenset(r.w for r in known.orderBy(F.desc("p"), "w").limit(most).select("w").collect()), tuple(sorted(r.w for r in tops.collect())))
 
 
 def observed(df: DataFrame, key: str, text: str, known: Lexicon) -> DataFrame:
