@@ -70,6 +70,7 @@ def prepare(spark: SparkSession, train_archive: str, test_archive: str, output:
     train, test = scratch.keep(train), scratch.keep(test)
     splits, facts = prepare_frames(train, test, share, seed)
     stats = {}
+    D.checked_apart(splits["train_clean"], test)
     for name, df in splits.items():
         D.validate(df)
         IO.write_table(df, Path(output) / f"{name}.parquet")

@@ -52,7 +52,7 @@ class Scratch:
         """Write df and return the written table."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        before = self.spark.conf.get(SHUFFLE_FILES)
+        before = self.spark.conf.get(SHUFFLE_FILES, "false")
         self.spark.conf.set(SHUFFLE_FILES, "true")  # what was shuffled for a table goes as soon as the table is written
         try:
             df.write.parquet(path)

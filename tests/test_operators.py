@@ -28,6 +28,26 @@ def test_colliding_ids_are_made_unique(spark):
     assert {r.issue_id for r in D.unique_ids(df.limit(1)).collect()} == {"7"}
 
 
+def test_postconditions(spark):
+    df = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "c")], "issue_id string, text_hash string")
+    with pytest.raises(ValueError, match="'1'"):
+        D.checked_unique(df)
+    assert D.checked_unique(df.filter("text_hash <> 'b'")).count() == 2
+    with pytest.raises(RuntimeError, match="text_hash"):
+        D.checked_apart(df, df.limit(1))
+    assert D.checked_apart(df, df.limit(0)).count() == 3
+    with pytest.raises(ValueError, match="no rows"):
+        D.not_empty(df.limit(0), "x")
+    with pytest.raises(ValueError, match="project"):
+        D.stage2_rows(df.withColumnsRenamed({"issue_id": "canonical_label", "text_hash": "text"}))
+    assert D.inspected(df.withColumnsRenamed({"issue_id": "canonical_label", "text_hash": "text"}), "x") == {"1": 2, "2": 1}
+    for bad in (df.limit(0), df.withColumn("text_hash", F.lit(" ")), df.withColumn("issue_id", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError):
+            D.inspected(bad.withColumnsRenamed({"issue_id": "canonical_label", "text_hash": "text"}), "x")
+    one = D.statistics(spark.createDataFrame([("A", "r", "h"), (None, None, "h"), ("A", "r", None), ("B", "s", None)], "canonical_label string, repository string, text_hash string")).first()
+    assert tuple(one) == (4, 3, 2, 2)
+
+
 def test_misclassified_counts_nulls(spark):
     df = spark.createDataFrame([("A", "A"), (None, None), (None, "A"), ("B", None)], "t string, prediction string")
     assert D.misclassified(df, "t").count() == 3
