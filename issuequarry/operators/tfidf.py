@@ -19,6 +19,7 @@ from issuequarry.functions.text import SPACE
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+# Names and defaults of the settings in model files.
 @dataclass(frozen=True)
 class TfidfConfig:
     """Settings by their names in model files. Keys of other parts of a file are left to those; as_dict gives every setting."""

@@ -23,6 +23,7 @@ from issuequarry.sources import tables as IO
 BASE_MODELS = {"stage1": "microsoft/deberta-v3-small", "stage2": "answerdotai/ModernBERT-base", "stage3": "answerdotai/ModernBERT-base", "dapt": "answerdotai/ModernBERT-base"}
 
 
+# Names and defaults of the settings in model files.
 @dataclass(frozen=True)
 class TransformerConfig:
     """Settings of a fine-tuning run, by their names in model files."""
