@@ -243,6 +243,9 @@ def label(signs: list[int], n: list[int], heavy: list[float], model: tuple = STA
     out = dict.fromkeys(STATES, 0)
     if not signs:
         return 0, out
+    if max(signs) < plain:
+        out["prose"] = sum(n)
+        return out["prose"], out
     for s, w, h in zip(viterbi(signs, n, model, plain), n, heavy, strict=True):
         out[STATES[s if s != 3 or h > 0.5 else 0]] += w
     return sum(n), out
@@ -319,13 +322,20 @@ def trained(pages: DataFrame, model: tuple) -> tuple:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
         for b in batches:
-            for signs, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if signs:
-                    signs = list(signs)
-                    path = viterbi(signs, words, model, plain)
+            simple = []
+            for i, signs in enumerate(b.column(0).to_pylist()):
+                if signs and max(signs) < plain:
+                    simple.append(signs)
+                elif signs:
+                    path = viterbi(list(signs), b.column(1)[i].as_py(), model)
                     c["f", path[0], 0] += 1
                     c.update(("e", s, x) for s, x in zip(path, signs, strict=True))
                     c.update(("m", s, x) for s, x in zip(path, path[1:], strict=False))
+            if simple:  # all prose
+                c["f", 0, 0] += len(simple)
+                c["m", 0, 0] += sum(map(len, simple)) - len(simple)
+                for x, m in Counter(b"".join(simple)).items():
+                    c["e", 0, x] += m
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.int32()), pa.array([k[2] for k in c], pa.int32()), pa.array(list(c.values()), pa.int64())], ["t", "i", "j", "n"])
 
     rows = pages.select("signs", "words").mapInArrow(work, "t string, i int, j int, n bigint").groupBy("t", "i", "j").agg(F.sum("n").alias("n")).collect()

@@ -36,6 +36,7 @@ RANGES = {
     "C": "\u0400-\u052f", "G": "\u0370-\u03e1\u03f0-\u03ff\u1f00-\u1fff", "A": "\u0530-\u058f", "K": "\u2c80-\u2cff\u03e2-\u03ef", "H": "\u13a0-\u13ff\uab70-\uabbf", "S": "\ua4d0-\ua4f7",
 }
 _MEMBERS = frozenset("".join(LOOKALIKES.values()))
+SCRIPTS = "LCGAKHS"  # in this order where scores are equal
 SWITCH = -12.0  # another script inside a word
 PRIOR = 3.0  # the script that leads in the text
 
@@ -60,6 +61,12 @@ def script_of(ch: str) -> str:
     return "S" if 0xA4D0 <= cp < 0xA4F8 else ""
 
 
+def rare(ch: str) -> bool:
+    """A Cyrillic or Greek letter outside the common alphabets: it may stand for its class, but no word is read with it."""
+    s = script_of(ch)
+    return s == "C" and not 0x410 <= ord(ch) <= 0x45F or s == "G" and not 0x386 <= ord(ch) <= 0x3CE
+
+
 def is_pictograph(cp: int) -> bool:
     return 0x1F000 <= cp < 0x1FB00 or 0x2600 <= cp < 0x27C0 or cp == 0x2642 or cp == 0x2640
 
@@ -115,14 +122,12 @@ class ConsistentForm:
                 own = self.readings.setdefault(first, [(script_of(first), first)])
                 for o in others:
                     self.proto[ord(o)] = first
-                    if o not in STAND_INS:
+                    if o not in STAND_INS and (table is LOOKALIKES or not rare(o)):
                         own.append((script_of(o), o))
         self.joined = re.compile("(?<=[\u2600-\u27bf\U0001f000-\U0001faff\u2640\u2642\ufe0f])\u200d(?=[\u2600-\u27bf\U0001f000-\U0001faff\u2640\u2642])")
         self.word = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f])*")
         self.spelt = re.compile(f"[{''.join(RANGES.values())}]")
-        shared = "".join(re.escape(c) for c, r in self.readings.items() if len(r) > 1)
-        self.own = {s: re.compile(f"(?![{shared}])[{x}]") for s, x in RANGES.items()}  # letters that no other script can spell
-        self.foreign = re.compile(f"(?![{shared}])[{''.join(RANGES.values())}]")
+        self.can: dict[str, frozenset[str]] = {}
         ascii_ = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
         spelt = {c: {s for s, _ in self.readings.get(c, ())} for c in ascii_}
         self.not_in = {s: re.compile("[" + "".join(c for c in ascii_ if s not in spelt[c]) + "ßłŁøđıæœ]") for s in RANGES}  # Latin letters that a script lacks
@@ -146,16 +151,25 @@ class ConsistentForm:
             text = text.replace("\ue000", "\u200d")
         return text if text.isascii() else unicodedata.normalize("NFD", text).translate(self.proto)
 
+    def spellers(self, word: str) -> frozenset[str]:
+        """The scripts other than Latin that can spell all letters of a word that Latin can't; those of its first such letter if none can."""
+        if (known := self.can.get(word)) is None:
+            each = [frozenset(s for s, _ in self.readings.get(c) or [(script_of(c), c)]) - {"L"} for c in word if self.spelt.match(c)]
+            if len(self.can) > 500_000:
+                self.can.clear()
+            known = self.can[word] = frozenset.intersection(*each) or each[0]
+        return known
+
     def leading(self, classes: str) -> str:
-        """The script with the most words that only it can spell; Latin if none leads."""
-        words = self.word.findall(classes)
+        """The script that can spell the most words which Latin can't, if these are no fewer than the words that only Latin can spell; else Latin."""
         n = dict.fromkeys(RANGES, 0)
         latin = []
-        for w in words:
-            if w.isascii() or not self.foreign.search(w):
+        for w in self.word.findall(classes):
+            if w.isascii() or not self.spelt.search(w):
                 latin.append(w)
             else:
-                n[next(s for s, own in self.own.items() if own.search(w))] += 1
+                for s in self.spellers(w):
+                    n[s] += 1
         best = max(RANGES, key=lambda s: n[s])
         return best if n[best] > 0 and n[best] >= sum(bool(self.not_in[best].search(w)) for w in latin) else "L"
 
@@ -182,7 +196,7 @@ class ConsistentForm:
                         found = (v, s, c, path + c)
                 step.append(found)
             best = step
-        return max(best, key=lambda x: (x[0], x[1] == "L", x[3]))[3]
+        return max(best, key=lambda x: (x[0], -SCRIPTS.index(x[1] or "S"), x[3]))[3]
 
     def __call__(self, text: str) -> str:
         c = self.classes(text)

@@ -47,6 +47,8 @@ def test_letters_of_further_scripts(spark):
     for text in ("ᎠᏂᏴᏫᏯ ᏣᎳᎩ", "Γραφή και ήχος", "Графика и звук", "ꓡꓲ-ꓢꓴ ꓐꓯ", "հայերեն գիր"):  # whole words of one script stay in it
         assert f(text) == unicodedata.normalize("NFC", text), (text, f(text))
         assert f(unicodedata.normalize("NFD", text)) == f(text)
+    for text in ("строку в cursor.yaml снова", "Gali_benchmark снова пропускает строку", "FIGA и слово"):  # rare letters are never written
+        assert f(text) == ConsistentForm()(text), (f(text), ConsistentForm()(text))
     every = [x + c for c, o in {**LOOKALIKES, **more}.items() for x in o]
     assert all(f(x[0]) == f(x[1]) for x in every)
 
