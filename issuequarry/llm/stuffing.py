@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,18 +123,13 @@ def pieces(tokens: list[str], info: list[tuple], size: int = 24) -> Iterator[tup
 
 def sign(line: str, whole: bool, info: list[tuple], often: Counter, many: float, total: int, round_: bool) -> tuple[int, int, float]:
     """(sign, words, share of the topic words that fill the page). often: the page's stems with their counts, many: the count that fills it, round_: whether its stems come again and again, however many they are."""
-    n = sum(x[0] for x in info)
+    counts, linked, stems, known, cut, _, flowing = zip(*info, strict=True)
+    n = sum(counts)
     if not n:
         return 6, 0, 0.0
-    links = grammar = seps = tags = flow = 0
-    topics: list[str] = []
-    for x in info:
-        links += x[1]
-        topics += x[2]
-        grammar += x[3]
-        seps += x[4] > 0
-        tags += x[4] == 2
-        flow += x[6]
+    links, grammar, flow = sum(linked), sum(known), sum(flowing)
+    seps, tags = len(cut) - cut.count(0), cut.count(2)
+    topics = list(chain.from_iterable(stems))
     t = len(topics)
     heavy = sum(often[w] >= many for w in topics) / t if t else 0.0
     if links and t + grammar <= 6 * links and grammar < max(2, 0.2 * (t + grammar)):
