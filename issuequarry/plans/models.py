@@ -8,12 +8,14 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from issuequarry.functions import text as T
 from issuequarry.operators import data as D
@@ -72,7 +74,7 @@ class LinearTextModel:
     svm: Any
 
     def vectors(self, df: DataFrame, text: str, scratch: Scratch) -> DataFrame:
-        return _vectors(df, text, X.TfidfConfig.from_mapping(self.config), self.vocabulary, scratch)
+        return _vectors(df, text, X.TfidfConfig.from_mapping(self.config), self.vocabulary.toArrow(), scratch)
 
     def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
         """df with prediction. Texts without a known term get the zero vector."""
@@ -99,23 +101,16 @@ class LinearTextModel:
         return cls(v["config"], v["labels"], spark.read.parquet(f"{path}/vocabulary"), OneVsRestModel.load(f"{path}/classifier"))
 
 
-def _vectors(df: DataFrame, text: str, config: X.TfidfConfig, vocab: DataFrame, scratch: Scratch) -> DataFrame:
-    """(__key, features): sparse vectors of the rows of df by __key. They are built as arrays in the JVM, written, and read as vectors, whose stored layout is the same."""
+def _vectors(df: DataFrame, text: str, config: X.TfidfConfig, vocab: pa.Table, scratch: Scratch, *more: str) -> DataFrame:
+    """(__key, more, features): sparse vectors of the rows of df by __key. They are written as arrays and read as vectors, whose stored layout is the same."""
     from pyspark.ml.linalg import VectorUDT
 
-    size, parts = vocab.count(), None
-    for block, c in X.block_counts(df, "__key", text, config).items():
-        x = c.join(vocab.filter(F.col("block") == block).select("term", "idf", "idx"), "term")
-        tf = 1 + F.log("tf") if config.sublinear_tf else F.col("tf").cast("double")
-        x = x.select("__key", "idx", (tf * F.col("idf")).alias("w"))
-        x = x.select("__key", "idx", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("__key")))).alias("w"))
-        parts = x if parts is None else parts.unionAll(x)
-    each = parts.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("x"))  # the terms of one text
-    arrays = df.select("__key").join(each, "__key", "left").select(
-        "__key", F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.coalesce(F.col("x.idx"), F.array().cast("array<int>")).alias("indices"), F.coalesce(F.col("x.w"), F.array().cast("array<double>")).alias("values")).alias("features")
-    )
-    path = scratch.keep(arrays).scratch_path
-    return df.sparkSession.read.schema(StructType([df.select("__key").schema[0], StructField("features", VectorUDT())])).parquet(path)
+    terms = {}
+    for b in X.block_names(config):
+        v = vocab.filter(pc.field("block") == b).sort_by("idx")
+        terms[b] = (v["term"].combine_chunks(), v["idf"].to_numpy())
+    path = scratch.keep(X.vectors(df, "__key", text, config, terms, *more)).scratch_path
+    return df.sparkSession.read.schema(StructType([*[df.select(c).schema[0] for c in ("__key", *more)], StructField("features", VectorUDT())])).parquet(path)
 
 
 def fit_linear(df: DataFrame, text: str = "text", label: str = "canonical_label", values: Mapping[str, Any] | None = None) -> LinearTextModel:
@@ -133,20 +128,19 @@ def fit_linear(df: DataFrame, text: str = "text", label: str = "canonical_label"
     rows = d.count()
     if not rows:
         raise ValueError("no labelled rows")
-    vocab, kept = None, 0
-    for block, n in X.block_counts(d, "__key", "text", config).items():
-        v = X.block_vocabulary(n, rows, block, config).select(F.lit(block).alias("block"), "term", (F.log(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1).alias("idf"))
-        v = scratch.keep(v.withColumn("idx", (F.row_number().over(Window.partitionBy("block").orderBy("term")) - 1 + kept).cast("int")))  # at most max_features rows
-        kept += v.count()
-        vocab = v if vocab is None else vocab.unionAll(v)
+    parts, kept = [], 0
+    for block, v in X.vocabularies(d, "__key", "text", rows, config).items():
+        v = v.sort_by("term")
+        parts.append(pa.table({"block": pa.array([block] * len(v), pa.string()), "term": v["term"], "idf": X.idf(v["df"].to_numpy(), rows), "idx": np.arange(kept, kept + len(v), dtype=np.int32)}))
+        kept += len(v)
+    vocab = pa.concat_tables(parts)  # at most max_features rows a block
     codes = D.sorted_codes(d, "label")
     weight = D.class_weights(d, "label") if c["class_weight"] == "balanced" else D.class_counts(d, "label").select("label", F.lit(1.0).alias("weight"))
-    x = _vectors(d, "text", config, vocab, scratch)
-    known = d.select("__key", "label").join(codes, "label").join(weight, "label").select("__key", F.col("code").cast("double").alias("label"), "weight")
-    train = scratch.keep(x.join(known, "__key").select("features", "label", "weight"))
+    known = d.join(F.broadcast(codes.join(weight, "label")), "label").select("__key", "text", F.col("code").cast("double").alias("label"), "weight")  # a row a label
+    train = _vectors(known, "text", config, vocab, scratch, "label", "weight").select("features", "label", "weight")
     machine = LinearSVC(maxIter=c["classifier_max_iter"], regParam=1.0 / rows, standardization=False, tol=1e-4)
     svm = OneVsRest(classifier=machine, labelCol="label", featuresCol="features", weightCol="weight", predictionCol="__code", parallelism=4).fit(train)
-    return LinearTextModel(c, [r.label for r in codes.orderBy("code").collect()], vocab, svm)
+    return LinearTextModel(c, [r.label for r in codes.orderBy("code").collect()], scratch.keep(df.sparkSession.createDataFrame(vocab)), svm)
 
 
 def predict_linear(model: LinearTextModel, df: DataFrame, text: str = "text") -> DataFrame:

@@ -157,3 +157,31 @@ def test_union_keeps_all_features(spark, tmp_path):
 def test_plans(spark):
     plan = D.without_overlap(spark.range(9).selectExpr("string(id) AS text_hash"), spark.range(3).selectExpr("string(id) AS text_hash"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan
+
+
+def test_weights_need_no_join_of_terms(spark):
+    df = spark.createDataFrame([(1, "crash save crash"), (2, "crash load")], "k long, t string")
+    plan = X.tfidf(df, "k", "t", X.TfidfConfig())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_small_chunks_and_repeated_keys(spark, monkeypatch):
+    """A key's rows are counted together, whatever the batches, chunks and terms held are."""
+    texts = [(i // 3, " ".join(f"w{i * j % 13}" for j in range(i % 7))) for i in range(60)] + [(None, "w1 w2"), (None, "w1 é"), (99, None)]
+    df = spark.createDataFrame(texts, "k long, t string")
+    docs, edged = {}, {}
+    for k, x in texts:
+        w = (x or "").split()
+        docs.setdefault(k, []).extend([y for y in w if len(y) > 1] + [f"{a} {b}" for a, b in pairwise([y for y in w if len(y) > 1])])
+        edged.setdefault(k, []).extend(g for y in w for n in (3, 4, 5) for g in [f" {y} "[i : i + n] for i in range(len(y) + 3 - n)])
+    for key, value in (("CHUNK", 24), ("HELD", 3), ("OUT", 2)):
+        monkeypatch.setattr(X, key, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = X.tfidf(df, "k", "t", X.TfidfConfig()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for block, grams, least in (("word", docs, 3), ("char", edged, 5)):
+        _, want = weights_by_hand(grams, len(texts), least, 200_000)
+        assert want and close({(r.k, r.term): r.weight for r in got if r.block == block}, want)
+    assert X.tfidf(df.limit(0), "k", "t", X.TfidfConfig()).count() == 0
