@@ -564,9 +564,7 @@ def t02_tfidf_text(spark, d):
 @query(f"WITH {_CHARS} {_weighted('char', 'cc', 'cv')}")
 def t03_tfidf_char(spark, d):
     """The character block of the model text at the operator's own limits."""
-    c, x = X.TfidfConfig(), t(spark, d, "train_clean").select("row_id", "text")
-    rows, counts = x.count(), X.block_counts(x, "row_id", "text", c)["char"]
-    return X.weights(counts, X.block_vocabulary(counts, rows, "char", c), rows, "row_id").select("row_id", F.lit("char").alias("block"), "term", F.round("weight", 6).alias("weight"))
+    return X.tfidf(t(spark, d, "train_clean").select("row_id", "text"), "row_id", "text", X.TfidfConfig(), ["char"]).withColumn("weight", _round6("weight"))
 
 
 @query(f"WITH {_WHOLE}, {_CHARS} {_weighted('word', 'c', 'v')} UNION ALL {_weighted('char', 'cc', 'cv')}")
