@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,23 @@ def test_monitor(spark, folder, caplog):
     assert monitor.memory()["rss"] > 0 and monitor.log_memory("x", rows=3)["rows"] == 3
     assert monitor.versions()["pyspark"] != "unavailable" and training.version_of("no-such-package") == "unavailable"
     assert cli.main(["version"]) == 0
+
+
+def test_machines_are_at_the_optimum_of_squared_hinge(spark):
+    """The gradient by hand, from the long form, is nearly nothing; every machine is fitted in the same passes."""
+    d = spark.createDataFrame([(i, f"{('crash', 'please add', 'how')[i % 3]} w{i % 5} w{i % 7} thing", ("BUG", "ENHANCEMENT", "QUESTION")[i % 3 if i % 10 else 0]) for i in range(40)], "row_id long, text string, canonical_label string")
+    m = models.fit_linear(d, values={"word_min_df": 1, "char_min_df": 1, "word_max_df": 1.0, "char_max_df": 1.0})
+    rows, place = d.collect(), {(r.block, r.term): (r.idx, r.idf) for r in m.vocabulary.collect()}
+    x = np.zeros((len(rows), len(place) + 1))
+    x[:, -1] = 1
+    for r in X.tfidf(d.select("row_id", "text"), "row_id", "text", X.TfidfConfig.from_mapping(m.config)).collect():
+        x[r.row_id, place[r.block, r.term][0]] = r.weight
+    by = np.append([v for _, v in sorted(place.values())], 1.0)
+    count = {label: sum(r.canonical_label == label for r in rows) for label in m.labels}
+    cost = np.array([len(rows) / (3 * count[r.canonical_label]) for r in rows])
+    for label, w in zip(m.labels, m.svm / by, strict=True):
+        y = np.array([1.0 if r.canonical_label == label else -1.0 for r in rows])
+        g = lambda w, y=y: w - 2 * x.T @ (cost * y * np.maximum(0, 1 - y * (x @ w)))
+        assert np.linalg.norm(g(w)) <= 1.01e-3 * np.linalg.norm(g(0 * w))
+    best = [m.labels[i] for i in (x @ (m.svm / by).T).argmax(1)]
+    assert {r.row_id: r.prediction for r in m.predict(d).collect()} == dict(enumerate(best))
