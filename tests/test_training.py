@@ -237,3 +237,41 @@ def test_machines_are_at_the_optimum_of_squared_hinge(spark):
         assert np.linalg.norm(g(w)) <= 1.01e-3 * np.linalg.norm(g(0 * w))
     best = [m.labels[i] for i in (x @ (m.svm / by).T).argmax(1)]
     assert {r.row_id: r.prediction for r in m.predict(d).collect()} == dict(enumerate(best))
+
+
+def test_machines_need_few_passes_and_keep_the_optimum(spark, monkeypatch):
+    """Bits of frequent terms, entries left by them and terms used more than DEEP times; the preconditioner changes the passes, not the machines."""
+    from issuequarry.plans import linear as L
+
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(("crash", "please add", "how", "the page")) for _ in range(r.choice((3, 9, 30)))) + f" w{r.randrange(9)} x{r.randrange(60)} z" + "z" * (i % 4), ("BUG", "ENHANCEMENT", "QUESTION")[i % 3 if i % 10 else 0]) for i in range(200)]
+    d = spark.createDataFrame(rows, "row_id long, text string, canonical_label string")
+    monkeypatch.setattr(L, "OFTEN", 0.3)
+    real, passes, got = L.lbfgs, {}, {}
+
+    def counted(x, steps, pre=None):
+        fit = real(x, steps, tol=1e-5, pre=pre if name == "with" else None)
+        out = next(fit)
+        while True:
+            answer = yield out
+            passes[name] = passes.get(name, 0) + 1
+            try:
+                out = fit.send(answer)
+            except StopIteration as end:
+                return end.value
+
+    monkeypatch.setattr(L, "lbfgs", counted)
+    for name in ("with", "without"):
+        got[name] = models.fit_linear(d, values={"word_min_df": 1, "char_min_df": 1, "word_max_df": 1.0, "char_max_df": 1.0})
+    assert passes["with"] < 0.7 * passes["without"], passes
+    m, place = got["with"], {(r.block, r.term): (r.idx, r.idf) for r in got["with"].vocabulary.collect()}
+    x = np.zeros((len(rows), len(place) + 1))
+    x[:, -1] = 1
+    for r in X.tfidf(d.select("row_id", "text"), "row_id", "text", X.TfidfConfig.from_mapping(m.config)).collect():
+        x[r.row_id, place[r.block, r.term][0]] = r.weight
+    by = np.append([v for _, v in sorted(place.values())], 1.0)
+    for label, w, v in zip(m.labels, m.svm / by, got["without"].svm / by, strict=True):
+        y = np.array([1.0 if r[2] == label else -1.0 for r in rows])
+        cost = np.array([len(rows) / (3 * sum(q[2] == r[2] for q in rows)) for r in rows])
+        g = lambda w, y=y, cost=cost: w - 2 * x.T @ (cost * y * np.maximum(0, 1 - y * (x @ w)))
+        assert np.linalg.norm(g(w)) <= 1e-4 * np.linalg.norm(g(0 * w)) and np.abs(w - v).max() < 0.01 * np.abs(v).max()
